@@ -1,9 +1,15 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import mixing
+from . import mixing, pieces, topk, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op6_warc": warc.op6_warc,
+    "op9_pieces": pieces.op9_pieces,
+    "op10_exact_topk": topk.op10_exact_topk,
 }
 
-ORACLES = {}
+ORACLES = {
+    "op6_warc": warc.ORACLE,
+    "op10_exact_topk": topk.ORACLE,
+}

@@ -12,6 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WORD, small, stage, uniform
 
@@ -32,7 +33,8 @@ def ranked(keys: DataFrame, col: str) -> DataFrame:
     ordered = keys.orderBy(F.col(col).asc_nulls_last()).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
     ordered = stage(ordered, "ranked")
     counts = ordered.groupBy("part").agg(F.count("*").alias("in_part"), F.min("at").alias("first_at"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy("a.part", "a.first_at").agg(F.coalesce(F.sum("b.in_part"), F.lit(0)).alias("before"))
+    so_far = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    before = counts.withColumn("before", F.coalesce(F.sum("in_part").over(so_far), F.lit(0))).drop("in_part")
     return ordered.join(F.broadcast(before), "part").withColumn("position", F.col("before") + F.col("at") - F.col("first_at")).drop("part", "at", "first_at", "before")
 
 
