@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words that a worker remembers; the memory is emptied when it is full, which changes no result.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+#: Up to so many symbols the agenda is a plain row of scores, searched from the left; above, a heap.
+SHORT = 40
 #: Longer words are worked out anew each time.
 LONGEST = 64
 #: Of so many documents one is also encoded and decoded whole by the library, besides every word that is worked out.
@@ -50,8 +52,25 @@ class Pieces:
 
     def agenda(self, text: str) -> list[int]:
         """Ids of a text in which spaces are marks already."""
-        scores, symbols = self.scores, list(text)
-        n = len(symbols)
+        symbols = list(text)
+        return self.numbers(self.merged_short(symbols) if len(symbols) <= SHORT else self.merged(symbols))
+
+    def merged_short(self, symbols: list[str]) -> list[str]:
+        score = self.scores.get
+        never = -np.inf
+        row = [score(a + b, never) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
+        while row and (best := max(row)) != never:
+            i = row.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del row[i]
+            if i < len(row):
+                row[i] = score(symbols[i] + symbols[i + 1], never)
+            if i:
+                row[i - 1] = score(symbols[i - 1] + symbols[i], never)
+        return symbols
+
+    def merged(self, symbols: list[str]) -> list[str]:
+        scores, n = self.scores, len(symbols)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         heap: list[tuple[float, int, int, str]] = []
         for i in range(n - 1):
@@ -75,15 +94,17 @@ class Pieces:
                 more = symbols[h] + both
                 if (s := scores.get(more)) is not None:
                     heapq.heappush(heap, (-s, h, i, more))
+        return [s for s in symbols if s]
+
+    def numbers(self, symbols: list[str]) -> list[int]:
         out: list[int] = []
         for s in symbols:
-            if s:
-                if (i := self.ids.get(s)) is not None:
-                    out.append(i)
-                elif self.bytes:
-                    out.extend(self.bytes[b] for b in s.encode())
-                elif not out or out[-1] != self.unknown:
-                    out.append(self.unknown)
+            if (i := self.ids.get(s)) is not None:
+                out.append(i)
+            elif self.bytes:
+                out.extend(self.bytes[b] for b in s.encode())
+            elif not out or out[-1] != self.unknown:
+                out.append(self.unknown)
         return out
 
     def learn(self, words: list[str], kind: int) -> None:
