@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: only documents are labelled, sentences are scored.
 
 A document is a bag of sentences. A sentence's probability is a logistic function of its words' pieces; the document's
-is the noisy-or of its sentences', 1 - prod(1 - p). Fitted on document labels through the noisy-or, the sentence model
+is the noisy-or, 1 - prod(1 - p), of those with telling words and of one leak that stands for all the rest. Fitted on
+document labels through the noisy-or, the sentence model
 then says which sentences offend.
 """
 
@@ -22,6 +23,8 @@ from .common import crc_mod
 FIT_ROWS_A_LABEL = 3000
 #: Pieces with a weight: so many of the most telling at most, each in so many toxic documents of the sample at least.
 PIECES, LEAST_DOCS = 20_000, 4
+#: A piece tells if its share of toxic documents is so many times its share of others.
+TELLING = 3.0
 HELD_OUT, FOLDS = 2, 4
 THRESHOLD = 0.3
 #: A sentence with at least this probability offends.
@@ -42,7 +45,7 @@ def document_pieces(text: str) -> set[str]:
 
 
 class SentenceModel:
-    """Weights of pieces and a bias; a word's weight is the largest in size of its pieces' sums, worked out once."""
+    """Weights of pieces and a bias; a word weighs the sum of its pieces, worked out once."""
 
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias, self.words = weights, bias, {}
@@ -66,22 +69,25 @@ class SentenceModel:
         return out
 
     def score(self, text: str) -> float:
-        """The noisy-or of the sentences; a text without sentences scores as one without telling words."""
-        get, word, quiet, logs = self.words.get, self.word, 0, 0.0
-        for part in re.split(r"[.!?\n]+", text.lower()):
-            z = 0.0
-            for w in set(TOKEN.findall(part)):
-                x = get(w)
-                z += word(w) if x is None else x
-            if z == 0.0:
-                quiet += 1
-            else:
-                logs += np.log1p(-1 / (1 + np.exp(-min(max(z + self.bias, -30), 30))))
-        return float(-np.expm1(logs + max(quiet, 1) * np.log1p(-1 / (1 + np.exp(-self.bias)))))
+        """The noisy-or of the leak and of the sentences with telling words; a text without any scores as the leak."""
+        lower, get, word = text.lower(), self.words.get, self.word
+        logs = np.log1p(-1 / (1 + np.exp(-self.bias)))
+        telling = set()
+        for w in set(TOKEN.findall(lower)):
+            x = get(w)
+            if (word(w) if x is None else x) != 0.0:
+                telling.add(w)
+        if telling:
+            for part in re.split(r"[.!?\n]+", lower):
+                if found := telling.intersection(TOKEN.findall(part)):
+                    z = self.bias + sum(map(word, found))
+                    logs += np.log1p(-1 / (1 + np.exp(-min(max(z, -30), 30))))
+        return float(-np.expm1(logs))
 
 
 def fit_sentences(bags: list[list[np.ndarray]], labels: np.ndarray, n_pieces: int, *, rounds: int = 150, decay: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Adam on the document likelihood of the noisy-or; bags[i] holds the piece numbers of each sentence of document i."""
+    """Adam on the document likelihood of the noisy-or; bags[i] holds the piece numbers of each telling sentence
+    of document i, and the empty one for the leak."""
     sentence_doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     flat = [s for b in bags for s in b]
     sizes = np.array([len(s) for s in flat], dtype=np.int64)
@@ -117,7 +123,7 @@ def fit_toxicity(docs: DataFrame, marks: DataFrame, *, train: Column | None = No
     """(weights of pieces, bias) from a sample of the labelled documents, at most rows_a_label of each label.
 
     The sample is taken by a hash of the id and its texts are read whole. The pieces are those whose share of toxic
-    documents is furthest from their share of others. Without toxic or without other documents all scores are low."""
+    documents is well above their share of others. Without toxic or without other documents all scores are low."""
     chosen = None
     for value in (0, 1):
         part = marks.filter((F.col("toxic") == value) & (train if train is not None else F.lit(True))).orderBy(F.xxhash64("id"), "id").limit(rows_a_label)
@@ -139,7 +145,7 @@ def fit_toxicity(docs: DataFrame, marks: DataFrame, *, train: Column | None = No
         return {}, -6.0
     counts = texts.select("text", "toxic").mapInArrow(count, "piece string, clean long, toxic long").groupBy("piece").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     ratio = F.log((F.col("toxic") + 0.5) / F.lit(float(totals[1]))) - F.log((F.col("clean") + 0.5) / F.lit(float(totals[0])))
-    telling = counts.filter((F.col("toxic") >= LEAST_DOCS) | (F.col("clean") >= LEAST_DOCS * 5)).withColumn("gain", F.abs(ratio) * F.sqrt(F.col("toxic") / totals[1] + F.col("clean") / totals[0]))
+    telling = counts.withColumn("ratio", ratio).filter((F.col("toxic") >= LEAST_DOCS) & (F.col("ratio") >= float(np.log(TELLING)))).withColumn("gain", F.col("ratio") * F.sqrt("toxic"))
     vocabulary = {r["piece"]: i for i, r in enumerate(telling.orderBy(F.desc("gain"), "piece").limit(PIECES).collect())}
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +153,7 @@ def fit_toxicity(docs: DataFrame, marks: DataFrame, *, train: Column | None = No
         for b in batches:
             bags = []
             for text in b.column(0).to_pylist():
-                bag, quiet = [], 0
+                bag: list[list[int]] = [[]]
                 for part in re.split(r"[.!?\n]+", (text or "").lower()):
                     found: list[int] = []
                     for w in set(TOKEN.findall(part)):
@@ -155,20 +161,21 @@ def fit_toxicity(docs: DataFrame, marks: DataFrame, *, train: Column | None = No
                             x = [vocabulary[p] for p in word_pieces(w) if p in vocabulary]
                             known[w] = x
                         found += x
-                    bag.append(found)
+                    if found:
+                        bag.append(found)
                 bags.append(bag)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(bags, pa.list_(pa.list_(pa.int32())))], names=["toxic", "bag"])
 
     rows = texts.select("text", "toxic").mapInArrow(number, "toxic int, bag array<array<int>>").toArrow()
     bags = [[np.array(s, dtype=np.int64) for s in b] for b in rows.column("bag").to_pylist()]
     w, bias = fit_sentences(bags, np.array(rows.column("toxic").to_pylist()), len(vocabulary))
-    return {p: float(w[i]) for p, i in vocabulary.items() if abs(w[i]) > 1e-3}, float(bias)
+    return {p: float(w[i]) for p, i in vocabulary.items() if abs(w[i]) > 0.05}, float(bias)
 
 
 def score_toxicity(docs: DataFrame, model: tuple[dict[str, float], float], *, text_col: str = "text", spans: bool = False) -> DataFrame:
     """docs with toxicity, the noisy-or of its sentences, and with spans the offending sentences' (start, end, score).
 
-    Every column of docs stays, but for earlier ones of these names. Null is the empty text, which has one empty
+    Every column of docs stays, but for earlier ones of these names. Null is the empty text, which has no
     sentence."""
     names = [c for c in docs.columns if c not in ("toxicity", "offending")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
