@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import mixing, pieces, quality, topk, toxicity, warc
+from . import mixing, pieces, quality, tokenfiles, topk, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op4_token_counts": tokenfiles.op4_token_counts,
     "op6_warc": warc.op6_warc,
     "op7_quality": quality.op7_quality,
     "op9_pieces": pieces.op9_pieces,

@@ -2,8 +2,7 @@
 
 A document is a bag of sentences. A sentence's probability is a logistic function of its words' pieces; the document's
 is the noisy-or, 1 - prod(1 - p), of those with telling words and of one leak that stands for all the rest. Fitted on
-document labels through the noisy-or, the sentence model
-then says which sentences offend.
+document labels through the noisy-or, the sentence model then says which sentences offend.
 """
 
 from __future__ import annotations
