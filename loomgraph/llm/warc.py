@@ -91,7 +91,7 @@ def write_archives(pages: DataFrame, path: str, **options) -> None:
 
 
 def candidates(spark, path: str) -> DataFrame:
-    """(file, at, next, fields) of every place in the archives where the magic stands and a header can be read.
+    """(file, a hash of its path, at, next, fields) of every place in the archives where the magic stands and a header can be read.
 
     A file is read whole by one task, so archives have to be below 2 GB, the limit of Spark's binary reader; those
     written here hold a bounded number of records. at and next are byte offsets; next is null where none can be told.
@@ -99,23 +99,27 @@ def candidates(spark, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     text = F.decode("content", "ISO-8859-1")  # one character a byte
     # Pieces between magics; the first lies before any and is empty in an archive that is whole.
-    pieces = F.split(text, r"WARC/1\.0\r\n")
-    lengths = F.transform(pieces, lambda p: F.length(p) + len(MAGIC))
+    read = files.select(F.xxhash64("path").alias("file"), F.octet_length("content").alias("total"), F.split(text, r"WARC/1\.0\r\n").alias("pieces"))
+    lengths = F.transform("pieces", lambda p: F.length(p) + len(MAGIC))
     start = F.struct(F.lit(-len(MAGIC)).cast("long").alias("pos"), F.array().cast("array<bigint>").alias("offsets"))
     offsets = F.aggregate(lengths, start, lambda acc, n: F.struct((acc["pos"] + n).alias("pos"), F.concat(acc["offsets"], F.array(acc["pos"])).alias("offsets")), lambda acc: acc["offsets"])
-    header = F.transform(pieces, lambda p: F.substring_index(p, END, 1))
-    read = files.select(F.col("path").alias("file"), "content", offsets.alias("offsets"), header.alias("headers"))
+    header = F.transform("pieces", lambda p: F.substring_index(p, END, 1))
+    read = read.select("file", "total", "pieces", offsets.alias("offsets"), header.alias("headers"))
 
     def one(i: Column) -> Column:
         at, head = F.element_at("offsets", i), F.element_at("headers", i)
         get = lambda name: F.nullif(F.regexp_extract(head, rf"(?:^|\r\n){name}: ([^\r]*)(?:\r\n|$)", 1), F.lit(""))
         size = get("Content-Length").try_cast("bigint")
-        body = at + len(MAGIC) + F.length(head) + len(END)
-        sha1 = F.sha1(F.substring(F.col("content"), (body + 1).cast("int"), size.cast("int")))
-        follows = body + size + len(END)
+        skip = F.length(head) + len(END)
+        ends = at + len(MAGIC) + skip + size
+        follows = ends + len(END)
+        # A body that holds magics goes on in the pieces after its own, up to the last that begins before its end.
+        after = F.size(F.filter("offsets", lambda o: (o > at) & (o < ends)))
+        whole = F.when(F.get("offsets", i) < ends, F.concat_ws(MAGIC, F.slice("pieces", i, after + 1))).otherwise(F.element_at("pieces", i))
+        sha1 = F.sha1(F.encode(F.substring(whole, skip + 1, size.cast("int")), "ISO-8859-1"))
         return F.struct(
             at.alias("at"), follows.alias("next"), get("WARC-Type").alias("record_type"), get("WARC-Record-ID").alias("record_id"), get("WARC-Refers-To").alias("refers_to"), get("WARC-Target-URI").alias("url"),
-            size.alias("size"), get("X-Payload-Length").try_cast("bigint").alias("payload_length"), get("WARC-Payload-Digest").alias("digest"), F.when((size >= 0) & (follows <= F.octet_length("content")), sha1).alias("body_sha1"),
+            size.alias("size"), get("X-Payload-Length").try_cast("bigint").alias("payload_length"), get("WARC-Payload-Digest").alias("digest"), F.when((size >= 0) & (follows <= F.col("total")), sha1).alias("body_sha1"),
         )
 
     rows = F.when(F.size("offsets") > 1, F.transform(F.sequence(F.lit(2), F.size("offsets")), one)).otherwise(F.array().cast(_empty(read, one)))
