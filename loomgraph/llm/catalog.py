@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import mixing, pieces, quality, tokenfiles, topk, toxicity, warc
+from . import mixing, neardup, pieces, quality, tokenfiles, topk, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_token_counts": tokenfiles.op4_token_counts,
     "op6_warc": warc.op6_warc,
     "op7_quality": quality.op7_quality,
+    "op8_neardup": neardup.op8_neardup,
     "op9_pieces": pieces.op9_pieces,
     "op10_exact_topk": topk.op10_exact_topk,
 }
