@@ -85,7 +85,7 @@ def bag_min_hash(bags: list[tuple[np.ndarray, np.ndarray]], m: int = REGISTERS)
     k = 0
     while len(doc):
         k += 1
-        a = _mix(seed + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))
+        a = _mix(seed + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         b = _mix(a ^ np.uint64(0xA0761D6478BD642F))
         time = time - np.log(((a >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53) / width
         slot = doc * m + ((b >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
