@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import mixing, neardup, pieces, quality, tokenfiles, topk, toxicity, warc
+from . import ann, mixing, neardup, pieces, quality, tokenfiles, topk, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_token_counts": tokenfiles.op4_token_counts,
+    "op5_nearest": ann.op5_nearest,
     "op6_warc": warc.op6_warc,
     "op7_quality": quality.op7_quality,
     "op8_neardup": neardup.op8_neardup,

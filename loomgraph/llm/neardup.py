@@ -153,8 +153,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             good = []
             for n in range(batch.num_rows):
                 b, text = batch.column(1)[n].as_py(), batch.column(3)[n].as_py()
-                if last != (b, len(text)):
-                    last, kept = (b, len(text)), bag(text)
+                if last != (b, text):
+                    last, kept = (b, text), bag(text)
                 both, all_ = overlap(bag(batch.column(2)[n].as_py()), kept)
                 if DEN * both >= NUM * all_ and all_:
                     good.append(n)
