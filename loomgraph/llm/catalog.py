@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import ann, mixing, neardup, pieces, quality, tokenfiles, topk, toxicity, warc
+from . import ann, lm, mixing, neardup, pieces, quality, tokenfiles, topk, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_toxicity": toxicity.op2_toxicity,
+    "op3_lm": lm.op3_lm,
     "op4_token_counts": tokenfiles.op4_token_counts,
     "op5_nearest": ann.op5_nearest,
     "op6_warc": warc.op6_warc,
