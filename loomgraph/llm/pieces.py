@@ -21,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Words that a worker remembers; the memory is emptied when it is full, which changes no result.
-REMEMBERED = 400_000
+#: Words that a worker remembers at a time; when they are full they become the old ones, which are dropped when the next
+#: are full. This changes no result.
+REMEMBERED = 250_000
+#: Of so many words that are worked out, one is also encoded by the library.
+WORD_CHECK_EVERY = 8
 #: Up to so many symbols the agenda is a plain row of scores, searched from the left; above, a heap.
 SHORT = 40
 #: Longer words are worked out anew each time.
 LONGEST = 64
-#: Of so many documents one is also encoded and decoded whole by the library, besides every word that is worked out.
+#: Of so many documents one is also encoded whole by the library, besides some of the words that are worked out.
 WHOLE_CHECK_EVERY = 64
 
 
@@ -49,6 +52,7 @@ class Pieces:
         self.splits_words = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.splits_lines = self.splits_words and not any("\n" in p and len(p) > 1 for p in self.ids)
         self.known: list[dict[str, tuple[int, str]]] = [{}, {}]  # words that begin with a mark or not -> number of ids, ids
+        self.old: list[dict[str, tuple[int, str]]] = [{}, {}]
 
     def agenda(self, text: str) -> list[int]:
         """Ids of a text in which spaces are marks already."""
@@ -107,19 +111,26 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
-    def learn(self, words: list[str], kind: int) -> None:
-        """Work out words and check each against the library."""
-        if len(self.known[kind]) + len(words) > REMEMBERED:
-            self.known[kind].clear()
-        own = [self.agenda((MARK if kind == 0 else "") + w) for w in words]
-        theirs = self.library.encode(words if kind == 0 else ["\n" + w for w in words], num_threads=1)
-        if kind == 1:
-            head = self.library.encode("\n")
-            theirs = [x[len(head) :] for x in theirs]
-        for w, a, b in zip(words, own, theirs, strict=True):
-            if a != b:
-                raise ValueError(f"the agenda gives {a}, the library {b} for {w!r}")
-            self.known[kind][w] = len(a), ",".join(map(str, a))
+    def learn(self, words: set[str], kind: int) -> None:
+        """Have all words in known: they are there, are old ones, or are worked out now, some checked by the library."""
+        missing = [w for w in words if w not in self.known[kind]]
+        if len(self.known[kind]) + len(missing) > REMEMBERED:
+            self.old[kind], self.known[kind], missing = self.known[kind], {}, list(words)
+        known, old, fresh = self.known[kind], self.old[kind], []
+        for w in missing:
+            if (x := old.get(w)) is None:
+                fresh.append(w)
+            else:
+                known[w] = x
+        for w in fresh:
+            ids = self.agenda(MARK + w if kind == 0 else w)
+            known[w] = len(ids), ",".join(map(str, ids))
+        some = sorted(fresh)[::WORD_CHECK_EVERY]
+        theirs = self.library.encode(some if kind == 0 else ["\n" + w for w in some], num_threads=1)
+        skip = len(self.library.encode("\n")) if kind else 0
+        for w, ids in zip(some, theirs, strict=True):
+            if known[w][1] != ",".join(map(str, ids[skip:])):
+                raise ValueError(f"the agenda gives {known[w][1]}, the library {ids[skip:]} for {w!r}")
 
     def plan(self, text: str) -> list[tuple[int, list[str]]] | None:
         """[(kind, words)] of a text that is made of single-spaced words, line by line; None where it has to be read as
@@ -159,11 +170,7 @@ class Pieces:
             for kind, words in p or ():
                 fresh[kind].update(words)
         for kind in (0, 1):
-            if sum(w not in self.known[kind] for w in fresh[kind]):
-                missing = sorted(w for w in fresh[kind] if w not in self.known[kind])
-                if len(self.known[kind]) + len(missing) > REMEMBERED:
-                    missing = sorted(fresh[kind])
-                self.learn(missing, kind)
+            self.learn(fresh[kind], kind)
         out = []
         for t, p in zip(texts, plans, strict=True):
             if p is None:
@@ -194,8 +201,8 @@ def add_model(spark, path: str) -> str:
 def encoded(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per row of df: its id, n_tokens, ids_sha256 and decoded_sha256, and with_ids the ids and decoded text.
 
-    Null is the empty text, which has no ids. Every distinct word that a batch brings is checked against the library,
-    and one document of WHOLE_CHECK_EVERY as a whole, ids and decoded text; a difference stops the job. Texts of any
+    Null is the empty text, which has no ids. In every batch one of WORD_CHECK_EVERY of the words that are worked
+    out is checked against the library, and one document of WHOLE_CHECK_EVERY as a whole; a difference stops the job. Texts of any
     length are encoded whole; rows are independent, so ties and repeated rows change nothing.
     """
     name = add_model(df.sparkSession, model_path)
