@@ -198,8 +198,9 @@ def add_model(spark, path: str) -> str:
     return path.rsplit("/", 1)[-1]
 
 
-def encoded(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per row of df: its id, n_tokens, ids_sha256 and decoded_sha256, and with_ids the ids and decoded text.
+def encoded(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of df: its id, n_tokens, ids_sha256 and decoded_sha256, with_ids the ids and decoded text, and the
+    columns of df named in keep (none of which may have one of these names).
 
     Null is the empty text, which has no ids. In every batch one of WORD_CHECK_EVERY of the words that are worked
     out is checked against the library, and one document of WHOLE_CHECK_EVERY as a whole; a difference stops the job. Texts of any
@@ -227,10 +228,12 @@ def encoded(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col:
                 if with_ids:
                     columns += [pa.array([[int(v) for v in x[1].split(",")] if x[1] else [] for x in found], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                     names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                columns += [part.column(2 + i) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, *keep])
 
     schema = f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    schema += "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def op9_pieces(spark, sf_dir: str) -> DataFrame:
