@@ -22,8 +22,9 @@ from .common import crc_mod
 FIT_ROWS_A_LABEL = 3000
 #: Pieces with a weight: so many of the most telling at most, each in so many toxic documents of the sample at least.
 PIECES, LEAST_DOCS = 20_000, 4
-#: A piece tells if its share of toxic documents is so many times its share of others.
-TELLING = 3.0
+#: A piece tells if its share of toxic documents is so many times its share of others, and chance is as unlikely an
+#: explanation as this likelihood-ratio statistic says (about one piece of 15,000).
+TELLING, SURE = 3.0, 16.0
 HELD_OUT, FOLDS = 2, 4
 THRESHOLD = 0.3
 #: A sentence with at least this probability offends.
@@ -93,8 +94,7 @@ def fit_sentences(bags: list[list[np.ndarray]], labels: np.ndarray, n_pieces: in
     pieces = np.concatenate([*flat, np.zeros(0, np.int64)]).astype(np.int64)
     rows = np.repeat(np.arange(len(flat)), sizes)
     w, bias = np.zeros(n_pieces + 1), -6.0
-    share = labels.mean() if len(labels) else 0.5
-    weight = np.where(labels == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9)) / max(len(labels), 1)
+    weight = 1 / max(len(labels), 1)
     m, v = np.zeros(n_pieces + 1), np.zeros(n_pieces + 1)
     for t in range(1, rounds + 1):
         z = np.bincount(rows, w[pieces], minlength=len(flat)) + bias + w[-1]
@@ -144,7 +144,11 @@ def fit_toxicity(docs: DataFrame, marks: DataFrame, *, train: Column | None = No
         return {}, -6.0
     counts = texts.select("text", "toxic").mapInArrow(count, "piece string, clean long, toxic long").groupBy("piece").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     ratio = F.log((F.col("toxic") + 0.5) / F.lit(float(totals[1]))) - F.log((F.col("clean") + 0.5) / F.lit(float(totals[0])))
-    telling = counts.withColumn("ratio", ratio).filter((F.col("toxic") >= LEAST_DOCS) & (F.col("ratio") >= float(np.log(TELLING)))).withColumn("gain", F.col("ratio") * F.sqrt("toxic"))
+    a, b, all_a, all_b = F.col("toxic"), F.col("clean"), float(totals[1]), float(totals[0])
+    both = (a + b) / (all_a + all_b)
+    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
+    sure = 2 * (part(a, all_a * both) + part(b, all_b * both) + part(all_a - a, all_a * (1 - both)) + part(all_b - b, all_b * (1 - both)))
+    telling = counts.withColumn("ratio", ratio).filter((a >= LEAST_DOCS) & (F.col("ratio") >= float(np.log(TELLING)))).withColumn("gain", sure).filter(F.col("gain") >= SURE)
     vocabulary = {r["piece"]: i for i, r in enumerate(telling.orderBy(F.desc("gain"), "piece").limit(PIECES).collect())}
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
