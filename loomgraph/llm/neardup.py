@@ -26,8 +26,10 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 #: Similarity as a fraction, compared in whole numbers.
 NUM, DEN = 4, 5
-#: Fewer equal registers than this rule a pair out; at similarity 0.8 that has probability below 1e-10.
-LEAST_EQUAL = REGISTERS // 2
+#: Fewer equal registers than this rule a pair out; at similarity 0.8 that has probability below 1e-5.
+LEAST_EQUAL = 58
+#: Rounds in which members meet leaders of their buckets, and leaders of a bucket in each round after the first.
+ROUNDS, LEADERS = 3, 3
 #: Buckets of at most so many members are joined with themselves; larger ones are compared in blocks.
 BUCKET, BLOCK = 64, 256
 #: Words of a batch of texts.
@@ -182,13 +184,36 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("id", "root")
 
 
-def _leader_pairs(buckets: DataFrame) -> DataFrame:
-    """Each member with the smallest and the largest id of each of its buckets: linear in the members of a bucket."""
-    ends = buckets.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.min_by("size", "rep").alias("low_size"), F.max_by("size", "rep").alias("high_size")).filter("low < high")
-    joined = buckets.join(ends, "bucket")
-    pick = F.explode(F.array(F.struct(F.col("low").alias("b"), F.col("low_size").alias("b_size")), F.struct(F.col("high").alias("b"), F.col("high_size").alias("b_size"))))
-    pairs = joined.select(F.col("rep").alias("a"), "size", pick.alias("x")).select("a", "x.b", "size", "x.b_size")
-    return pairs.filter((F.col("a") != F.col("b")) & _near("size", "b_size")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+def _leader_pairs(known: DataFrame, turn: int) -> DataFrame:
+    """Each member with leaders of its bucket that it is not connected to: linear in the members of a bucket.
+
+    Leaders are members of the bucket's largest component: first the one whose buckets are the fullest, as those of the
+    text are that the others were copied from, later also some by a hash that changes with the turn. known: bucket, rep,
+    size, root, pop (members of all the buckets that rep is in)."""
+    ways = 1 if turn == 0 else LEADERS
+    order = lambda w: -F.col("pop") if w == 0 else F.xxhash64("rep", F.lit(turn), F.lit(w))
+    one = [F.min(F.struct(order(w).alias("h"), "rep", "size")).alias(f"l{w}") for w in range(ways)]
+    groups = known.groupBy("bucket", "root").agg(F.count("*").alias("n"), *one)
+    best = F.struct("n", (-F.col("root")).alias("r"), *[f"l{w}" for w in range(ways)])
+    tops = groups.groupBy("bucket").agg(F.max(best).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("bucket", "top")
+    pick = F.explode(F.array(*[F.col(f"top.l{w}") for w in range(ways)]))
+    pairs = known.join(tops, "bucket").filter(F.col("root") != -F.col("top.r")).select(F.col("rep").alias("a"), "size", pick.alias("x")).select("a", F.col("x.rep").alias("b"), "size", F.col("x.size").alias("b_size"))
+    return pairs.filter((F.col("a") != F.col("b")) & _near("size", "b_size")).select("a", "b").distinct()
+
+
+def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose signatures leave a similarity of 0.8 possible."""
+    at = lambda c: classes.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"))
+    equal = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
+    return pairs.join(at("a"), "a").join(at("b"), "b").filter(equal >= LEAST_EQUAL).select("a", "b")
+
+
+def _connected(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (id, root) after links (a, b) have joined components: only roots that a link moves are worked on."""
+    to = lambda c: roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}"))
+    ends = links.join(to("a"), "a").join(to("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).filter("a <> b").distinct()
+    moved = components(stage(ends, "ends")).select(F.col("id").alias("root"), F.col("root").alias("new"))
+    return stage(roots.join(small(moved), "root", "left").select("id", F.coalesce("new", "root").alias("root")), "roots")
 
 
 def _near(x: str, y: str):
@@ -196,9 +221,8 @@ def _near(x: str, y: str):
     return DEN * F.least(x, y) >= NUM * F.greatest(x, y)
 
 
-def _left_pairs(buckets: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of a bucket that are in different components so far and agree in half of their registers."""
-    known = buckets.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+def _left_pairs(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs of a bucket that no link connects so far and whose signatures leave a similarity of 0.8 possible."""
     mixed = known.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 < r1").select("bucket", "n")
     members = stage(known.join(mixed, "bucket"), "members")
     lesser = members.filter(F.col("n") <= BUCKET)
@@ -227,10 +251,7 @@ def _left_pairs(buckets: DataFrame, classes: DataFrame, roots: DataFrame) -> Dat
             return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         pairs = pairs.unionByName(spread.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long"))
-    pairs = pairs.distinct()
-    at = lambda c: classes.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"))
-    equal = F.aggregate(F.zip_with("sig_a", "sig_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    return pairs.join(at("a"), "a").join(at("b"), "b").filter(equal >= LEAST_EQUAL).select("a", "b")
+    return _likely(pairs.distinct(), classes)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,8 +260,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Texts with the same words (A-Z in lower case) are one class whatever their white space. Classes are linked where
     the multisets of their five-word shingles overlap by 0.8 or more, and links connect. A text of fewer than five
     words is one shingle; a text without words, or null, is a class by itself, and so is a row with a null id (its
-    class_id is null). Rows that share an id share their group. All candidates of a band are examined: each member of
-    a bucket against two of it, then whatever is not connected yet against all it is not connected to.
+    class_id is null). Rows that share an id share their group. All candidates of a band are examined: members of
+    a bucket against leaders of its largest component, in turns, then whatever is not connected yet against all that it
+    is not connected to.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sigs = stage(signed(rows), "signatures")
@@ -254,18 +276,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return F.xxhash64(F.lit(n), F.slice("sig", ROWS * n + 1, ROWS))
 
     every = F.explode(F.array(*[bucket(n) for n in range(BANDS)]))
-    buckets = stage(classes.select("rep", "size", every.alias("bucket")), "buckets")
+    spread = classes.select("rep", "size", every.alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("full")).filter("full > 1")
+    buckets = stage(spread.join(shared, "bucket"), "buckets")
+    popular = stage(buckets.groupBy("rep").agg(F.sum("full").alias("pop")), "popular")
     texts_of = lambda pairs: rows.join(small(stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "involved")), "id", "left_semi")
-    pairs = stage(_leader_pairs(buckets), "pairs")
-    same = members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     # An id with several texts is a member of several classes and connects them.
-    twice = members.groupBy("id").count().filter("count > 1").select("id")
-    links = stage(verified(pairs, texts_of(pairs)).unionByName(same.join(twice.withColumnRenamed("id", "a"), "a", "left_semi")), "links")
-    roots = components(links)
-    more = stage(_left_pairs(buckets, classes, roots), "more")
-    if more.limit(1).count():
-        links = stage(links.unionByName(verified(more, texts_of(more))), "links")
-        roots = components(links)
+    twice = members.groupBy("id").count().filter("count > 1").select(F.col("id").alias("a"))
+    joined = stage(members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).join(twice, "a", "left_semi"), "joined")
+    roots = stage(buckets.select(F.col("rep").alias("id")).union(joined.select("a")).union(joined.select("b")).distinct().withColumn("root", F.col("id")), "roots")
+    if joined.limit(1).count():
+        roots = _connected(roots, joined)
+    for turn in range(ROUNDS + 1):
+        known = buckets.join(roots.select(F.col("id").alias("rep"), "root").join(popular, "rep"), "rep")
+        pairs = stage(_likely(_leader_pairs(known, turn), classes) if turn < ROUNDS else _left_pairs(stage(known, "known"), classes), "pairs")
+        links = stage(verified(pairs, texts_of(pairs)), "links") if pairs.limit(1).count() else None
+        if links is not None and links.limit(1).count():
+            roots = _connected(roots, links)
+        elif turn < ROUNDS:  # leaders find nothing any more: all pairs that are left
+            known = stage(known, "known")
+            pairs = stage(_left_pairs(known, classes), "pairs")
+            if pairs.limit(1).count():
+                roots = _connected(roots, stage(verified(pairs, texts_of(pairs)), "links"))
+            break
     unstage(buckets)
     grouped = members.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("class_id"))
     return grouped.groupBy("id").agg(F.min("class_id").alias("class_id")).unionByName(others.select("id", F.col("id").alias("class_id")))
