@@ -30,8 +30,11 @@ NUM, DEN = 4, 5
 LEAST_EQUAL = 58
 #: Rounds in which members meet leaders of their buckets, and leaders of a bucket in each round after the first.
 ROUNDS, LEADERS = 3, 3
-#: Buckets of at most so many members are joined with themselves; larger ones are compared in blocks.
-BUCKET, BLOCK = 64, 256
+#: What leaders leave is compared by finer registers, a byte each: fewer equal ones than LEAST_FINE rule a pair out, which
+#: at similarity 0.8 has probability below 1e-5.
+FINE, LEAST_FINE = 512, 369
+#: Members of a bucket are compared in blocks of about so many.
+BLOCK = 256
 #: Words of a batch of texts.
 BATCH = 1_000_000
 
@@ -221,37 +224,78 @@ def _near(x: str, y: str):
     return DEN * F.least(x, y) >= NUM * F.greatest(x, y)
 
 
-def _left_pairs(known: DataFrame, classes: DataFrame) -> DataFrame:
-    """All pairs of a bucket that no link connects so far and whose signatures leave a similarity of 0.8 possible."""
+def finer(texts: DataFrame) -> DataFrame:
+    """texts (id, text) -> rep, fine: FINE registers of a text as bytes; texts without words are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+
+        def done(ids, bags):
+            low = (bag_min_hash(bags, FINE) & np.uint32(255)).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([r.tobytes() for r in low], pa.binary())], names=["rep", "fine"])
+
+        for b in batches:
+            ids, bags, n = [], [], 0
+            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if words := words_of(text.as_py()):
+                    ids.append(i)
+                    bags.append(np.unique(shingles(words, hashes), return_counts=True))
+                    n += len(words)
+                if n >= BATCH // 4:
+                    yield done(ids, bags)
+                    ids, bags, n = [], [], 0
+            if ids:
+                yield done(ids, bags)
+
+    return texts.select("id", "text").mapInArrow(run, "rep long, fine binary")
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of the same (bucket, i, j), one of block i and one of block j, that no link connects so far and whose
+    sizes and finer registers leave a similarity of 0.8 possible. Rows come sorted; a group may go on in the next batch."""
+    rest: list[pa.RecordBatch] = []
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        bucket, i, j, own, rep, root, size = (rows.column(c).to_numpy() for c in ("bucket", "i", "j", "own", "rep", "root", "size"))
+        fine = np.frombuffer(b"".join(rows.column("fine").to_pylist()), np.uint8).reshape(len(rep), FINE)
+        cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start, end in zip([0, *cuts], [*cuts, len(rep)], strict=True):
+            right = start + np.flatnonzero(own[start:end] == j[start])
+            for p in start + np.flatnonzero(own[start:end] == i[start]):
+                q = right[right > p] if i[start] == j[start] else right
+                q = q[(root[q] != root[p]) & (DEN * np.minimum(size[q], size[p]) >= NUM * np.maximum(size[q], size[p]))]
+                q = q[np.count_nonzero(fine[q] == fine[p], axis=1) >= LEAST_FINE]
+                a.append(np.maximum(rep[q], rep[p]))
+                b.append(np.minimum(rep[q], rep[p]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = [batch.column(c).to_numpy() for c in ("bucket", "i", "j")]
+        open_ = np.flatnonzero(np.any([k != k[-1] for k in key], axis=0))  # rows before the batch's last group
+        cut = int(open_[-1]) + 1 if len(open_) else 0
+        if rest and tuple(rest[0].column(c)[0].as_py() for c in ("bucket", "i", "j")) != tuple(k[0] for k in key) or cut:
+            yield pairs(pa.Table.from_batches([*rest, batch.slice(0, cut)]))
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield pairs(pa.Table.from_batches(rest))
+
+
+def _left_pairs(known: DataFrame, texts_of) -> DataFrame:
+    """The pairs of a bucket that no link connects so far and whose finer registers leave a similarity of 0.8 possible.
+
+    A bucket of n members is compared as pairs of blocks, so a task holds two blocks at a time; only pairs that the
+    registers let through become rows. texts_of gives the texts of the ids in the columns a and b."""
     mixed = known.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 < r1").select("bucket", "n")
-    members = stage(known.join(mixed, "bucket"), "members")
-    lesser = members.filter(F.col("n") <= BUCKET)
-    x, y = lesser.alias("x"), lesser.alias("y")
-    close = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & _near("x.size", "y.size")
-    pairs = x.join(y, close).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    large = members.filter(F.col("n") > BUCKET)
-    if large.limit(1).count():
-        sigs = classes.select("rep", "sig")
-        blocks = F.ceil(F.col("n") / BLOCK)
-        own = F.pmod(F.xxhash64("rep"), blocks)
-        spread = large.join(sigs, "rep").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "root", "size", "sig")
-
-        def compare(table: pa.Table) -> pa.Table:
-            rep, root, size = (table.column(c).to_numpy() for c in ("rep", "root", "size"))
-            sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
-            own, i, j = (table.column(c).to_numpy() for c in ("own", "i", "j"))
-            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            a, b = [], []
-            for p in left:
-                q = right[(root[right] != root[p]) & (DEN * np.minimum(size[right], size[p]) >= NUM * np.maximum(size[right], size[p]))]
-                q = q[(sig[q] == sig[p]).sum(axis=1) >= LEAST_EQUAL]
-                a += [max(rep[p], v) for v in rep[q]]
-                b += [min(rep[p], v) for v in rep[q]]
-            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-        pairs = pairs.unionByName(spread.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long"))
-    return _likely(pairs.distinct(), classes)
+    members = stage(known.join(mixed, "bucket").select("bucket", "rep", "root", "size", "n"), "members")
+    fine = stage(finer(texts_of(members.select(F.col("rep").alias("a"), F.col("rep").alias("b")))), "fine")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    spread = members.join(fine, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "root", "size", "fine")
+    return spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_compared, "a long, b long").filter("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,13 +333,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         roots = _connected(roots, joined)
     for turn in range(ROUNDS + 1):
         known = buckets.join(roots.select(F.col("id").alias("rep"), "root").join(popular, "rep"), "rep")
-        pairs = stage(_likely(_leader_pairs(known, turn), classes) if turn < ROUNDS else _left_pairs(stage(known, "known"), classes), "pairs")
+        pairs = stage(_likely(_leader_pairs(known, turn), classes) if turn < ROUNDS else _left_pairs(stage(known, "known"), texts_of), "pairs")
         links = stage(verified(pairs, texts_of(pairs)), "links") if pairs.limit(1).count() else None
         if links is not None and links.limit(1).count():
             roots = _connected(roots, links)
         elif turn < ROUNDS:  # leaders find nothing any more: all pairs that are left
             known = stage(known, "known")
-            pairs = stage(_left_pairs(known, classes), "pairs")
+            pairs = stage(_left_pairs(known, texts_of), "pairs")
             if pairs.limit(1).count():
                 roots = _connected(roots, stage(verified(pairs, texts_of(pairs)), "links"))
             break
