@@ -279,3 +279,19 @@ def test_lm_counts(spark, odd, empty):
         assert got[i]["base_score"] == pytest.approx(sum(map(log, words))) and got[i]["score"] < 0
     assert lm.scored(odd, F.lit(True), RANKS, public_tokenizers.PATTERN).count() == odd.count()
     assert lm.scored(empty, F.lit(True), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_lm_passes_cover_all_windows():
+    for n, steps in ((1, 3), (100, 3), (5000, 3), (1000, 40)):
+        order = lm.passes(n, steps, np.random.default_rng(0))
+        assert len(order) >= steps and max(map(len, order)) <= lm.BATCH
+        assert set(np.bincount(np.concatenate(order), minlength=n)) == {-(-steps // -(-n // lm.BATCH))}
+
+
+def test_lm_learns_from_every_training_document(spark, monkeypatch):
+    ids = [r["id"] for r in spark.range(40).filter(F.pmod(F.xxhash64("id"), F.lit(8)) != 0).limit(9).collect()]
+    docs = spark.createDataFrame([(i, "zebra quartz " * 20, "en", "s", 0) for i in ids], DOCS)
+    score = lambda: sum(r["score"] for r in lm.scored(docs, F.lit(True), RANKS, public_tokenizers.PATTERN).collect())
+    trained = score()
+    monkeypatch.setattr(lm, "train_network", lambda docs, shared, name, pattern, network: network)
+    assert trained > score() + 1
