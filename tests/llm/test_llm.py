@@ -248,6 +248,14 @@ def test_lm_windows_score_each_place_once():
     assert sorted(order) == list(range(500)) and (y[keep] == classes[order]).all()
 
 
+def test_lm_windows_leave_half_a_window_of_context():
+    lengths = np.array([1, 31, 32, 33, 200, 17])
+    starts = np.cumsum(lengths) - lengths
+    _, _, keep, order = lm.windows(np.arange(lengths.sum()) % lm.HEAD, starts)
+    in_text = order - np.repeat(starts, lengths)[order]
+    assert (np.nonzero(keep)[1] >= np.minimum(in_text, lm.WINDOW // 2)).all()
+
+
 def test_lm_gradient_and_causality():
     rng = np.random.default_rng(1)
     net = lm.Network.fresh(np.full(lm.HEAD + 1, 1 / (lm.HEAD + 1)))
