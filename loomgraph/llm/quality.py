@@ -6,8 +6,11 @@ The expected grade is the sum of these tails; documents are selected by one of t
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,8 @@ from .common import crc_mod
 
 #: Rated documents that a model is fitted on, at most, of each grade; the choice is by a hash of the id.
 FIT_ROWS_A_GRADE = 1500
-BITS = 12
+#: Bits of the hashes of shapes, of four-grams of letters and digits, and of words.
+BITS, GRAM_BITS, WORD_BITS = 12, 14, 16
 #: Grades: 0 is junk, 1 is sound but toxic text, 2 is sound text.
 GRADES = 3
 KEEP_ABOVE = 0
@@ -37,14 +41,31 @@ def _byte_kinds() -> bytes:
 
 
 KINDS = _byte_kinds()
+#: Words are runs of letters, digits and bytes of other scripts, A-Z in lower case.
+FOLD = bytes(b if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in range(256)).lower()
 #: Features besides the hashed ones: repetition, word length, text length.
 EXTRA = 6
+HASHED = (1 << BITS) + (1 << GRAM_BITS) + (1 << WORD_BITS)
+SIZE = HASHED + EXTRA
+
+
+def _grams(raw: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed four-grams of bytes and the square roots of their shares."""
+    if len(raw) < 4:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
+    k = raw.astype(np.uint32)
+    gram = k[:-3] | k[1:-2] << 8 | k[2:-1] << 16 | k[3:] << 24
+    counts = np.bincount((gram * np.uint32(2654435761)) >> np.uint32(32 - bits), minlength=1 << bits)
+    index = np.flatnonzero(counts)
+    return index, np.sqrt(counts[index] / len(gram)).astype(np.float32)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values: square roots of the shares of hashed four-grams of byte kinds, then the plain features.
+    """Indices and values: square roots of the shares of hashed four-grams of byte kinds, of hashed four-grams of the
+    text's own bytes within and across words, and of hashed words; then the plain features.
 
-    Runs of a kind count up to two bytes, so that the words' shapes count and their lengths hardly do.
+    Runs of a kind count up to two bytes, so that the words' shapes count and their lengths hardly do. Words and their
+    four-grams are those of the whole text; an index may come twice where words collide, and its values add up.
     """
     raw = (text or "").encode()
     kinds = np.frombuffer(raw.translate(KINDS), dtype=np.uint8)
@@ -52,39 +73,36 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         keep = np.ones(len(kinds), dtype=bool)
         keep[2:] = (kinds[2:] != kinds[1:-1]) | (kinds[2:] != kinds[:-2])
         kinds = kinds[keep]
-    index, value = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32)
-    if len(kinds) >= 4:
-        k = kinds.astype(np.uint32)
-        gram = k[:-3] | k[1:-2] << 8 | k[2:-1] << 16 | k[3:] << 24
-        hashed = (gram * np.uint32(2654435761)) >> np.uint32(32 - BITS)
-        counts = np.bincount(hashed, minlength=1 << BITS)
-        index = np.flatnonzero(counts)
-        value = np.sqrt(counts[index] / len(gram)).astype(np.float32)
+    index, value = _grams(kinds, BITS)
+    folded = raw.translate(FOLD).split()
+    gram_index, gram_value = _grams(np.frombuffer(b" ".join([b"", *folded, b""]), dtype=np.uint8), GRAM_BITS)
+    counts = Counter(folded)
+    word_index = (np.fromiter(map(crc32, counts), dtype=np.int64, count=len(counts)) & ((1 << WORD_BITS) - 1)) + (1 << BITS) + (1 << GRAM_BITS)
+    word_value = np.sqrt(np.fromiter(counts.values(), dtype=np.float32, count=len(counts)) / max(1, len(folded)))
     words = raw.split()
     n = max(1, len(words))
     again = sum(map(eq, words, words[1:])) / n
     letters = sum(map(len, words)) / n
     more = np.array([again, min(again * 10, 1), len(set(words)) / n, min(letters, 40) / 10, np.log1p(len(words)) / 5, float(not words)], dtype=np.float32)
-    return np.concatenate([index, (1 << BITS) + np.arange(EXTRA)]), np.concatenate([value, more])
+    return np.concatenate([index, gram_index + (1 << BITS), word_index, HASHED + np.arange(EXTRA)]), np.concatenate([value, gram_value, word_value, more])
 
 
 def fit_cumulative(x: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, *, n_grades: int, rounds: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds by Adam on the cumulative-link likelihood, grades weighted alike.
 
     Thresholds are a first one and positive steps (exponentials), so their order holds throughout."""
-    size = (1 << BITS) + EXTRA
-    dense = np.zeros((len(x), size), dtype=np.float32)
-    for i, (index, value) in enumerate(x):
-        dense[i, index] = value
+    lengths = np.fromiter((len(i) for i, _ in x), dtype=np.int64, count=len(x))  # every text has the plain features
+    at, size = np.concatenate([i for i, _ in x]).astype(np.int32), np.concatenate([v for _, v in x]).astype(np.float32)
+    begin = np.cumsum(lengths) - lengths
     weight_of = np.bincount(grades, minlength=n_grades).astype(np.float64)
     row_weight = (1 / np.maximum(weight_of, 1))[grades]
     row_weight /= row_weight.sum()
-    w, cut = np.zeros(size), np.concatenate([[-1.0], np.zeros(n_grades - 2)])
+    w, cut = np.zeros(SIZE), np.concatenate([[-1.0], np.zeros(n_grades - 2)])
     own = np.arange(len(grades))
-    state = [np.zeros(size), np.zeros(size), np.zeros(len(cut)), np.zeros(len(cut))]
+    state = [np.zeros(SIZE), np.zeros(SIZE), np.zeros(len(cut)), np.zeros(len(cut))]
     for t in range(1, rounds + 1):
         thresholds = cut[0] + np.concatenate([[0.0], np.cumsum(np.exp(cut[1:]))])
-        tail = 1 / (1 + np.exp(-np.clip((dense @ w.astype(np.float32))[:, None] - thresholds[None, :], -30, 30)))
+        tail = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w.astype(np.float32)[at] * size, begin)[:, None] - thresholds[None, :], -30, 30)))
         full = np.concatenate([np.ones((len(grades), 1)), tail, np.zeros((len(grades), 1))], axis=1)
         upper, lower = full[own, grades], full[own, grades + 1]  # P(grade >= own), P(grade > own)
         p = np.maximum(upper - lower, 1e-6)
@@ -93,7 +111,7 @@ def fit_cumulative(x: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, *
         g_full[own, grades] = upper * (1 - upper) / p * row_weight
         g_full[own, grades + 1] = -lower * (1 - lower) / p * row_weight
         g_t = g_full[:, 1:-1].sum(axis=0)
-        g_w = dense.T @ g_eta.astype(np.float32) + decay * w
+        g_w = np.bincount(at, np.repeat(g_eta.astype(np.float32), lengths) * size, minlength=SIZE) + decay * w
         g_cut = np.concatenate([[g_t.sum()], [g_t[k + 1 :].sum() * np.exp(cut[k + 1]) for k in range(len(cut) - 1)]])
         for value, g, m, v in ((w, g_w, state[0], state[1]), (cut, g_cut, state[2], state[3])):
             m += 0.1 * (g - m)
@@ -127,11 +145,14 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, *, train: Column | None = N
             found = [features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x[0] for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.float32()))], names=["id", "grade", "index", "value"])
 
-    rows = texts.select("id", "text", F.col("grade").cast("int")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, grade int, index array<int>, value array<float>").toArrow().to_pylist()
-    rows = sorted(rows, key=lambda r: (r["id"], len(r["index"])))[: n_grades * rows_a_grade]  # repeated ids don't raise the bound
+    sample = texts.select("id", "text", F.col("grade").cast("int")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, grade int, index array<int>, value array<float>").toArrow()
+    # The lists stay arrays: as Python numbers they would take many times the memory.
+    ids, grades = (list(chain.from_iterable(c.to_pylist() for c in sample.column(k).chunks)) for k in (0, 1))
+    index, value = ([x.values.to_numpy() for c in sample.column(k).chunks for x in c] for k in (2, 3))
+    rows = sorted(range(len(ids)), key=lambda i: (ids[i], len(index[i])))[: n_grades * rows_a_grade]  # repeated ids don't raise the bound
     if not rows:
-        return np.zeros((1 << BITS) + EXTRA, dtype=np.float32), np.full(n_grades - 1, -30.0)
-    return fit_cumulative([(np.array(r["index"]), np.array(r["value"], dtype=np.float32)) for r in rows], np.array([r["grade"] for r in rows]), n_grades=n_grades)
+        return np.zeros(SIZE, dtype=np.float32), np.full(n_grades - 1, -30.0)
+    return fit_cumulative([(index[i], value[i]) for i in rows], np.array([grades[i] for i in rows]), n_grades=n_grades)
 
 
 def score_quality(docs: DataFrame, model, *, text_col: str = "text", keep_above: int = KEEP_ABOVE) -> DataFrame:

@@ -232,6 +232,15 @@ def test_quality_and_toxicity_held_out(spark, empty):
     assert toxicity.score_toxicity(empty, toxicity.fitted(empty, labels)).count() == 0
 
 
+def test_quality_grades_differ_by_words(spark):
+    docs, labels = _labelled(spark)
+    grade = {r["id"]: r["grade"] for r in quality.graded(labels).collect()}
+    held = quality.classified(docs, labels).filter(quality.crc_mod(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT).collect()
+    toxic, sound = ([r["expected_grade"] for r in held if grade.get(r["doc_id"]) == g] for g in (1, 2))
+    assert len(toxic) > 10 and len(sound) > 40
+    assert np.mean(np.array(toxic)[:, None] < np.array(sound)[None, :]) > 0.9
+
+
 def test_thresholds_are_ordered():
     rng = np.random.default_rng(0)
     grades = rng.integers(0, 4, 200)
