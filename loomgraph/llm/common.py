@@ -55,6 +55,43 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def _at(path: str):
+    """The file system that a path (as Spark lists it) lies in, by pyarrow, and the path there."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/@"))
+
+
+def reads_ranges(files: DataFrame) -> bool:
+    """Whether a task can open all of files (path) itself, and so read parts of them; if not, only Spark can."""
+    for scheme in files.select(F.regexp_extract("path", "^[^:]*", 0).alias("s"), "path").groupBy("s").agg(F.min("path").alias("path")).collect():
+        try:
+            _at(scheme["path"])
+        except Exception:  # unknown scheme, or no library for it
+            return False
+    return True
+
+
+def open_range_reader():
+    """read(path, offset, length) for a task: the bytes of that range; the file that was read last stays open."""
+    last: list = [None, None]
+
+    def read(path: str, offset: int, length: int):
+        if last[0] != path:
+            store, at = _at(path)
+            last[:] = [path, store.open_input_file(at)]
+        got = last[1].read_at(length, offset)
+        if len(got) != length:
+            raise OSError(f"{path}: {len(got)} bytes at {offset} instead of {length}")
+        return got
+
+    return read
+
+
 def uniform(*cols) -> Column:
     """A number in [0, 1) that depends on the columns' values only, so that reruns agree."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))

@@ -1,8 +1,9 @@
 """Token counts from flat, unindexed token files: a vectorised search for the end-of-document identifier.
 
 A token file is one run of 16-bit identifiers, each document's followed by the separator. Nothing says where documents
-begin. Files are cut into blocks; each block finds its separators with one vector comparison, and a prefix scan over
-the blocks' lengths and last separators stitches the documents that cross from block to block.
+begin. Files are cut into blocks, byte ranges that tasks read apart from one another; each block finds its separators
+with one vector comparison, and a prefix scan over the blocks' lengths and last separators stitches the documents that
+cross from block to block.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path, stage
+from .common import new_path, open_range_reader, reads_ranges, stage
 
 #: Identifiers in files are the tokenizer's plus one, so that 0 is free to separate documents.
 SEPARATOR = 0
@@ -69,31 +70,59 @@ def write_token_files(docs: DataFrame, path: str, ranks_path: str, pattern: str,
     rows.select(F.col("value").cast("string")).write.option("lineSep", "\0\0").option("maxRecordsPerFile", DOCUMENTS_A_FILE).text(path)
 
 
+def byte_ranges(files: DataFrame, *, block: int = BLOCK, header: int = HEADER) -> DataFrame:
+    """(path, block, start, n, total, offset, length) of each block of files (path, length): where it begins, how many
+    identifiers it and its file have, and the bytes to read, which go on over the header that may begin at its end."""
+    total = F.floor(F.col("length") / 2)
+    last = F.greatest(F.ceil(total / block) - 1, F.lit(0))
+    blocks = files.select("path", total.cast("long").alias("total"), F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("block"))
+    start = F.col("block") * block
+    n = F.least(F.lit(block), F.col("total") - start)
+    return blocks.select("path", "block", start.alias("start"), n.alias("n"), "total", (start * 2).alias("offset"), (2 * F.least(F.lit(block + 1 + header), F.col("total") - start)).alias("length"))
+
+
 def block_summaries(files: DataFrame, *, separator: int = SEPARATOR, header: int = HEADER, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(blocks, ends) of files, rows (path, content) as Spark's binary reader gives them.
+    """(blocks, ends) of files, rows of Spark's binary reader.
 
     blocks: path, block, n (identifiers), last (position in the file of the last separator, null without one).
     ends: path, block and arrays: at (positions of separators), before (those of the ones before them, null for the
-    block's first), first and head (where a header begins, and its number). A file is read by one task and so has to be below 2 GB.
+    block's first), first and head (where a header begins, and its number). A task reads the byte ranges of its blocks
+    only, so files may have any size. In a store that only Spark opens, a file is read by one task and has to be below 2 GB.
     """
+    names = ["path", "block", "n", "last", "at", "before", "first", "head"]
+
+    def summary(path: str, k: int, start: int, n: int, total: int, ids: np.ndarray) -> pa.RecordBatch:
+        """ids: those of the block and of a header after it."""
+        at = np.flatnonzero(ids[:n] == separator) + start
+        first = np.concatenate([[0], at + 1]) if start == 0 else at + 1
+        first = first[first + header <= total]
+        digits = ids[(first - start)[:, None] + np.arange(header)].astype(np.uint64) - np.uint64(1)
+        heads = (digits << np.arange(4 * header - 4, -4, -4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64) if header else np.zeros(len(first), np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([path]), pa.array([k], pa.int64()), pa.array([n], pa.int64()), pa.array([int(at[-1]) if len(at) else None], pa.int64()), pa.array([at], pa.list_(pa.int64())), pa.array([[None, *at[:-1].tolist()][: len(at)]], pa.list_(pa.int64())), pa.array([first], pa.list_(pa.int64())), pa.array([heads], pa.list_(pa.int64()))],
+            names=names,
+        )
+
+    def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = open_range_reader()
+        for b in batches:
+            for path, k, start, n, total, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                yield summary(path, k, start, n, total, np.frombuffer(read(path, offset, length), dtype="<u2"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = np.frombuffer(content.as_buffer(), dtype="<u2", count=len(content.as_buffer()) // 2)
                 for k, start in enumerate(range(0, max(len(ids), 1), block)):
-                    part = ids[start : start + block]
-                    at = np.flatnonzero(part == separator) + start
-                    first = np.concatenate([[0], at + 1]) if start == 0 else at + 1
-                    first = first[first + header <= len(ids)]
-                    digits = ids[first[:, None] + np.arange(header)].astype(np.uint64) - np.uint64(1)
-                    heads = (digits << np.arange(4 * header - 4, -4, -4, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64) if header else np.zeros(len(first), np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([path]), pa.array([k], pa.int64()), pa.array([len(part)], pa.int64()), pa.array([int(at[-1]) if len(at) else None], pa.int64()), pa.array([at], pa.list_(pa.int64())), pa.array([[None, *at[:-1].tolist()][: len(at)]], pa.list_(pa.int64())), pa.array([first], pa.list_(pa.int64())), pa.array([heads], pa.list_(pa.int64()))],
-                        names=["path", "block", "n", "last", "at", "before", "first", "head"],
-                    )
-
-    rows = files.select("path", "content").mapInArrow(run, "path string, block long, n long, last long, at array<long>, before array<long>, first array<long>, head array<long>")
+                    yield summary(path, k, start, min(block, len(ids) - start), len(ids), ids[start : start + block + 1 + header])
+
+    schema = "path string, block long, n long, last long, at array<long>, before array<long>, first array<long>, head array<long>"
+    if reads_ranges(files):
+        listed = stage(byte_ranges(files.select("path", "length"), block=block, header=header), "ranges")
+        tasks = max(1, min(listed.count(), 16 * files.sparkSession.sparkContext.defaultParallelism))
+        rows = listed.repartition(tasks).mapInArrow(by_range, schema)
+    else:
+        rows = files.select("path", "content").mapInArrow(whole, schema)
     rows = stage(rows, "blocks")
     return rows.select("path", "block", "n", "last"), rows
 

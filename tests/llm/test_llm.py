@@ -93,6 +93,31 @@ def test_token_files(spark, odd, empty):
     assert tokenfiles.token_counts(spark, nothing).count() == 0
 
 
+def test_token_file_above_two_gigabytes(spark, tmp_path):
+    with open(tmp_path / "long.txt", "wb") as f:  # sparse: a document of identifiers 1, ended, far behind one never ended
+        f.write(np.array([*[1] * 15, 8, 5, 5, 0], "<u2").tobytes())
+        f.seek(2**31 + 10)
+        f.write(np.array([0, *[1] * 15, 10, 5], "<u2").tobytes())
+    files = spark.read.format("binaryFile").load(f"file://{tmp_path}")
+    ranges = {r["block"]: r for r in tokenfiles.byte_ranges(files.select("path", "length")).collect()}
+    assert sorted(ranges) == list(range(1025)) and max(r["length"] for r in ranges.values()) < 2**21 + 100
+    ends = tokenfiles.block_summaries(files.filter("length > 0"), separator=5, header=0)[1].selectExpr("explode(at) as at").collect()
+    assert sorted(r["at"] for r in ends) == [16, 17, 2**30 + 5 + 17]
+    assert [(r["start"], r["n_tokens"], r["ended"]) for r in tokenfiles.token_counts(spark, f"file://{tmp_path}", separator=5, header=0).orderBy("start").collect()] == [(0, 16, True), (17, 0, True), (18, 2**30 + 4, True)]
+
+
+def test_long_token_files_stitch_by_spans(spark, monkeypatch):
+    path = new_path(spark, "tokens")
+    docs = spark.createDataFrame([(i, "word " * (700 if i % 5 == 0 else i), "en", "s", 0) for i in range(12)], DOCS)
+    tokenfiles.write_token_files(docs.coalesce(1), path, RANKS, public_tokenizers.PATTERN)
+    rows = lambda **o: sorted(tuple(r) for r in tokenfiles.token_counts(spark, path, **o).collect())
+    want = rows()
+    monkeypatch.setattr(tokenfiles, "SPAN", 4)
+    assert len(want) == 12 and rows(block=16) == want
+    monkeypatch.setattr(tokenfiles, "reads_ranges", lambda files: False)
+    assert rows(block=16) == want
+
+
 def test_archives(spark):
     trap = "<p>WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\n é"
     rows = [(1, "u", trap), (2, None, None), (3, "a\r\nb", ""), (4, "z", "é日本"), (None, "q", "é日本"), (4, "z", "é日本"), (7, "w", trap)]
