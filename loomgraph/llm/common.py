@@ -92,6 +92,19 @@ def open_range_reader():
     return read
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, which may hold dots and quotes."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """name, or it with underscores after it, so that df has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def uniform(*cols) -> Column:
     """A number in [0, 1) that depends on the columns' values only, so that reruns agree."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))

@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import small, stage, unstage
+from .common import named, small, stage, unstage, unused
 
 WORDS = 5
 #: Bands of registers: a pair of similarity 0.8 shares no band with probability (1 - 0.8^4)^24 < 4e-6.
@@ -28,15 +29,14 @@ REGISTERS = BANDS * ROWS
 NUM, DEN = 4, 5
 #: Fewer equal registers than this rule a pair out; at similarity 0.8 that has probability below 1e-5.
 LEAST_EQUAL = 58
-#: Rounds in which members meet leaders of their buckets, and leaders of a bucket in each round after the first.
-ROUNDS, LEADERS = 3, 3
-#: What leaders leave is compared by finer registers, a byte each: fewer equal ones than LEAST_FINE rule a pair out, which
-#: at similarity 0.8 has probability below 1e-5.
-FINE, LEAST_FINE = 512, 369
-#: Members of a bucket are compared in blocks of about so many.
-BLOCK = 256
-#: Words of a batch of texts.
-BATCH = 1_000_000
+#: Rounds in which members meet leaders of their buckets, and leaders of another component that a member meets in a round.
+ROUNDS, LEADERS = 4, 2
+#: Another round follows while one pair in so many is a link.
+LEAST_FOUND = 20
+#: What leaders leave is compared in blocks of about so many members and so many shingles.
+BLOCK, BLOCK_SHINGLES = 256, 60_000
+#: Words of a batch of texts, and words whose hashes a task remembers.
+BATCH, REMEMBERED = 120_000, 150_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,10 +47,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Hash of a word, remembered until a million of them are."""
+    """Hash of a word, remembered until REMEMBERED of them are."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -188,20 +188,23 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _leader_pairs(known: DataFrame, turn: int) -> DataFrame:
-    """Each member with leaders of its bucket that it is not connected to: linear in the members of a bucket.
-
-    Leaders are members of the bucket's largest component: first the one whose buckets are the fullest, as those of the
-    text are that the others were copied from, later also some by a hash that changes with the turn. known: bucket, rep,
-    size, root, pop (members of all the buckets that rep is in)."""
-    ways = 1 if turn == 0 else LEADERS
-    order = lambda w: -F.col("pop") if w == 0 else F.xxhash64("rep", F.lit(turn), F.lit(w))
-    one = [F.min(F.struct(order(w).alias("h"), "rep", "size")).alias(f"l{w}") for w in range(ways)]
-    groups = known.groupBy("bucket", "root").agg(F.count("*").alias("n"), *one)
-    best = F.struct("n", (-F.col("root")).alias("r"), *[f"l{w}" for w in range(ways)])
-    tops = groups.groupBy("bucket").agg(F.max(best).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("bucket", "top")
-    pick = F.explode(F.array(*[F.col(f"top.l{w}") for w in range(ways)]))
-    pairs = known.join(tops, "bucket").filter(F.col("root") != -F.col("top.r")).select(F.col("rep").alias("a"), "size", pick.alias("x")).select("a", F.col("x.rep").alias("b"), "size", F.col("x.size").alias("b_size"))
-    return pairs.filter((F.col("a") != F.col("b")) & _near("size", "b_size")).select("a", "b").distinct()
+    """(a, b): each member with leaders of its buckets that it is not connected to, at most LEADERS for a member and a
+    component, however many buckets they share.
+
+    In the first turn the leader of a bucket is the member whose buckets are the fullest, as those of the text are that
+    others were copied from, and a member meets the two leaders that it shares the most buckets with. Later on leaders
+    are members of the bucket's largest component, by a hash that changes with the turn. known: bucket, rep, size, root,
+    pop (members of all the buckets that rep is in)."""
+    order = F.col("pop") if turn == 0 else F.xxhash64("rep", F.lit(turn))
+    leader = F.max(F.struct(order.alias("o"), (-F.col("rep")).alias("r"), "size")).alias("lead")
+    groups = known.groupBy("bucket", "root").agg(F.count("*").alias("n"), leader)
+    best = F.max(F.struct(F.col("lead") if turn == 0 else F.struct("n"), (-F.col("root")).alias("r"), F.col("lead").alias("x"))).alias("top")
+    tops = groups.groupBy("bucket").agg(best, F.count("*").alias("roots")).filter("roots > 1").select("bucket", (-F.col("top.r")).alias("b_root"), (-F.col("top.x.r")).alias("b"), F.col("top.x.size").alias("b_size"))
+    met = known.join(tops, "bucket").filter((F.col("root") != F.col("b_root")) & _near("size", "b_size"))
+    counted = met.groupBy(F.col("rep").alias("a"), "b_root", "b").agg(F.count("*").alias("shared"))
+    key = ["a"] if turn == 0 else ["a", "b_root"]
+    ranked = counted.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("shared"), F.xxhash64("b", F.lit(turn)), "b")))
+    return ranked.filter(F.col("at") <= LEADERS).select("a", "b")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -224,78 +227,110 @@ def _near(x: str, y: str):
     return DEN * F.least(x, y) >= NUM * F.greatest(x, y)
 
 
-def finer(texts: DataFrame) -> DataFrame:
-    """texts (id, text) -> rep, fine: FINE registers of a text as bytes; texts without words are left out."""
+def bags_of(texts: DataFrame) -> DataFrame:
+    """texts (id, text) -> rep, hashes and counts (bytes of 64- and 32-bit numbers) of a text's distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-
-        def done(ids, bags):
-            low = (bag_min_hash(bags, FINE) & np.uint32(255)).astype(np.uint8)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([r.tobytes() for r in low], pa.binary())], names=["rep", "fine"])
-
         for b in batches:
-            ids, bags, n = [], [], 0
-            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if words := words_of(text.as_py()):
-                    ids.append(i)
-                    bags.append(np.unique(shingles(words, hashes), return_counts=True))
-                    n += len(words)
-                if n >= BATCH // 4:
-                    yield done(ids, bags)
-                    ids, bags, n = [], [], 0
-            if ids:
-                yield done(ids, bags)
-
-    return texts.select("id", "text").mapInArrow(run, "rep long, fine binary")
+            for start in range(0, b.num_rows, 256):
+                part = b.slice(start, 256)
+                bags = [np.unique(shingles(words_of(t.as_py()), hashes), return_counts=True) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x, _ in bags], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in bags], pa.binary())], names=["rep", "hashes", "counts"])
+
+    return texts.select("id", "text").mapInArrow(run, "rep long, hashes binary, counts binary")
+
+
+def block_links(rows: dict[str, np.ndarray | list], band: int) -> list[tuple[int, int]]:
+    """Links (a, b) between the rows of a block: enough of them to connect all whose bags overlap by 0.8 or more.
+
+    rows: other (whether a row is to be compared, or what is compared to), rep, root, size, bands (the buckets of rep),
+    hashes, counts. Overlaps are exact: the bags of one side lie end to end, and the counts of one row of the other side
+    are held against all of them at once. Rows that a link has connected, or that share an earlier band, whose bucket
+    compares them, are not compared again."""
+    other, rep, root, size, bands = (np.asarray(rows[c]) for c in ("other", "rep", "root", "size", "bands"))
+    left, right = np.flatnonzero(other), np.flatnonzero(~other)
+    if not len(left) or not len(right):
+        return []
+    hashes, counts = ([np.frombuffer(x, t) for x in rows[c]] for c, t in (("hashes", np.uint64), ("counts", np.int32)))
+    label, out, codes = root.copy(), [], None
+    for p in left:
+        q = right[(label[right] != label[p]) & (DEN * np.minimum(size[right], size[p]) >= NUM * np.maximum(size[right], size[p])) & (rep[right] != rep[p])]
+        if band and len(q):
+            q = q[(bands[q, :band] != bands[p, :band]).all(axis=1)]
+        if not len(q):
+            continue
+        if codes is None:  # only blocks with something to compare are laid out
+            lengths = np.array([len(hashes[r]) for r in right])
+            laid, laid_counts = np.concatenate([hashes[r] for r in right]), np.concatenate([counts[r] for r in right])
+            keys, codes = np.unique(laid, return_inverse=True)
+            starts, place = np.cumsum(lengths) - lengths, {r: i for i, r in enumerate(right.tolist())}
+            mark = np.zeros(len(keys), dtype=np.int32)
+        at = np.minimum(np.searchsorted(keys, hashes[p]), len(keys) - 1)
+        known = keys[at] == hashes[p]
+        mark[at[known]] = counts[p][known]
+        if len(q) * 8 < len(right):
+            both = [int(np.minimum(mark[codes[starts[i] : starts[i] + lengths[i]]], laid_counts[starts[i] : starts[i] + lengths[i]]).sum()) for i in map(place.__getitem__, q.tolist())]
+        else:
+            both = np.add.reduceat(np.minimum(mark[codes], laid_counts), starts)[[place[r] for r in q.tolist()]]
+        mark[at[known]] = 0
+        both = np.asarray(both, dtype=np.int64)
+        for r in q[DEN * both >= NUM * (size[q] + size[p] - both)]:
+            if label[r] != label[p]:
+                out.append((max(int(rep[p]), int(rep[r])), min(int(rep[p]), int(rep[r]))))
+                label[label == label[r]] = label[p]
+    return out
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows of the same (bucket, i, j), one of block i and one of block j, that no link connects so far and whose
-    sizes and finer registers leave a similarity of 0.8 possible. Rows come sorted; a group may go on in the next batch."""
+    """Links within each block (bucket, i, j) of sorted rows; a block may go on in the next batch."""
     rest: list[pa.RecordBatch] = []
 
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        bucket, i, j, own, rep, root, size = (rows.column(c).to_numpy() for c in ("bucket", "i", "j", "own", "rep", "root", "size"))
-        fine = np.frombuffer(b"".join(rows.column("fine").to_pylist()), np.uint8).reshape(len(rep), FINE)
-        cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for start, end in zip([0, *cuts], [*cuts, len(rep)], strict=True):
-            right = start + np.flatnonzero(own[start:end] == j[start])
-            for p in start + np.flatnonzero(own[start:end] == i[start]):
-                q = right[right > p] if i[start] == j[start] else right
-                q = q[(root[q] != root[p]) & (DEN * np.minimum(size[q], size[p]) >= NUM * np.maximum(size[q], size[p]))]
-                q = q[np.count_nonzero(fine[q] == fine[p], axis=1) >= LEAST_FINE]
-                a.append(np.maximum(rep[q], rep[p]))
-                b.append(np.minimum(rep[q], rep[p]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    def links(table: pa.Table) -> pa.RecordBatch:
+        rows = {c: table.column(c).to_numpy() for c in ("bucket", "i", "j", "band", "rep", "root", "size")} | {c: table.column(c).to_pylist() for c in ("hashes", "counts")}
+        rows["other"], rows["bands"] = np.array(table.column("other").to_pylist()), table.column("bands").combine_chunks().values.to_numpy().reshape(-1, BANDS)
+        cuts = np.flatnonzero((np.diff(rows["bucket"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)) + 1
+        found = []
+        for start, end in zip([0, *cuts], [*cuts, table.num_rows], strict=True):
+            found += block_links({c: rows[c][start:end] for c in ("other", "rep", "root", "size", "bands", "hashes", "counts")}, int(rows["band"][start]))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
+    key = lambda b, n: tuple(b.column(c)[n].as_py() for c in ("bucket", "i", "j"))
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = [batch.column(c).to_numpy() for c in ("bucket", "i", "j")]
-        open_ = np.flatnonzero(np.any([k != k[-1] for k in key], axis=0))  # rows before the batch's last group
-        cut = int(open_[-1]) + 1 if len(open_) else 0
-        if rest and tuple(rest[0].column(c)[0].as_py() for c in ("bucket", "i", "j")) != tuple(k[0] for k in key) or cut:
-            yield pairs(pa.Table.from_batches([*rest, batch.slice(0, cut)]))
-            rest = []
-        rest.append(batch.slice(cut))
+        for start in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(start, BLOCK)
+            if rest and key(rest[-1], 0) != key(part, 0):
+                yield links(pa.Table.from_batches(rest))
+                rest = []
+            last = [batch.column(c).slice(start, BLOCK).to_numpy() for c in ("bucket", "i", "j")]
+            before = np.flatnonzero(np.any([k != k[-1] for k in last], axis=0))  # rows before the part's last block
+            if len(before):
+                yield links(pa.Table.from_batches([*rest, part.slice(0, int(before[-1]) + 1)]))
+                rest = []
+                part = part.slice(int(before[-1]) + 1)
+            rest.append(part)
     if rest:
-        yield pairs(pa.Table.from_batches(rest))
+        yield links(pa.Table.from_batches(rest))
 
 
-def _left_pairs(known: DataFrame, texts_of) -> DataFrame:
-    """The pairs of a bucket that no link connects so far and whose finer registers leave a similarity of 0.8 possible.
+def _left_links(known: DataFrame, texts_of) -> DataFrame:
+    """Links (a, b) between members of a bucket that nothing connects so far.
 
-    A bucket of n members is compared as pairs of blocks, so a task holds two blocks at a time; only pairs that the
-    registers let through become rows. texts_of gives the texts of the ids in the columns a and b."""
-    mixed = known.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 < r1").select("bucket", "n")
-    members = stage(known.join(mixed, "bucket").select("bucket", "rep", "root", "size", "n"), "members")
-    fine = stage(finer(texts_of(members.select(F.col("rep").alias("a"), F.col("rep").alias("b")))), "fine")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    spread = members.join(fine, "rep").withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    spread = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "root", "size", "fine")
-    return spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_compared, "a long, b long").filter("a <> b").distinct()
+    The members outside a bucket's largest component are held against all its members, in blocks of both, so that a task
+    holds two blocks at a time, and only links become rows. texts_of gives the texts of the ids in a column rep."""
+    roots = known.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    most = F.max(F.struct("n", (-F.col("root")).alias("r"), "size")).alias("top")
+    mixed = roots.groupBy("bucket").agg(most, F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum("size").alias("total")).filter("roots > 1")
+    cut = lambda n, total: F.ceil(F.greatest(n / BLOCK, total / BLOCK_SHINGLES))
+    mixed = mixed.select("bucket", (-F.col("top.r")).alias("top"), cut(F.col("n"), F.col("total")).alias("all"), cut(F.col("n") - F.col("top.n"), F.col("total") - F.col("top.size")).alias("few"))
+    members = stage(known.join(mixed, "bucket").select("bucket", "band", "rep", "root", "size", "bands", "all", "few", (F.col("root") != F.col("top")).alias("few_own")), "members")
+    bags = stage(bags_of(texts_of(members.select("rep"))), "bags")
+    block = lambda n, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    held = members.select("*", F.lit(False).alias("other"), block(F.col("all"), 1).alias("i"), each(F.col("few")).alias("j"))
+    asked = members.filter("few_own").select("*", F.lit(True).alias("other"), each(F.col("all")).alias("i"), block(F.col("few"), 2).alias("j"))
+    rows = held.unionByName(asked).drop("all", "few", "few_own").join(bags, "rep")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_compared, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,10 +340,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     the multisets of their five-word shingles overlap by 0.8 or more, and links connect. A text of fewer than five
     words is one shingle; a text without words, or null, is a class by itself, and so is a row with a null id (its
     class_id is null). Rows that share an id share their group. All candidates of a band are examined: members of
-    a bucket against leaders of its largest component, in turns, then whatever is not connected yet against all that it
-    is not connected to.
+    a bucket against leaders of its components, in turns, then whatever is not connected yet against all that it is not
+    connected to.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("string").alias("text"))
     sigs = stage(signed(rows), "signatures")
     real = sigs.filter(F.col("id").isNotNull() & F.col("key").isNotNull())
     classes = stage(real.groupBy("key").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("sig").alias("sig")), "classes")
@@ -319,46 +354,52 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def bucket(n: int):
         return F.xxhash64(F.lit(n), F.slice("sig", ROWS * n + 1, ROWS))
 
-    every = F.explode(F.array(*[bucket(n) for n in range(BANDS)]))
-    spread = classes.select("rep", "size", every.alias("bucket"))
+    bands = F.array(*[bucket(n) for n in range(BANDS)])
+    spread = classes.select("rep", "size", F.posexplode(bands).alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("full")).filter("full > 1")
     buckets = stage(spread.join(shared, "bucket"), "buckets")
     popular = stage(buckets.groupBy("rep").agg(F.sum("full").alias("pop")), "popular")
-    texts_of = lambda pairs: rows.join(small(stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "involved")), "id", "left_semi")
+    texts_of = lambda ids: rows.join(small(stage(ids.toDF("id").distinct(), "involved")), "id", "left_semi")
     # An id with several texts is a member of several classes and connects them.
     twice = members.groupBy("id").count().filter("count > 1").select(F.col("id").alias("a"))
     joined = stage(members.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).join(twice, "a", "left_semi"), "joined")
-    roots = stage(buckets.select(F.col("rep").alias("id")).union(joined.select("a")).union(joined.select("b")).distinct().withColumn("root", F.col("id")), "roots")
+    roots = stage(popular.select(F.col("rep").alias("id")).union(joined.select("a")).union(joined.select("b")).distinct().withColumn("root", F.col("id")), "roots")
     if joined.limit(1).count():
         roots = _connected(roots, joined)
-    for turn in range(ROUNDS + 1):
+    for turn in range(ROUNDS):
         known = buckets.join(roots.select(F.col("id").alias("rep"), "root").join(popular, "rep"), "rep")
-        pairs = stage(_likely(_leader_pairs(known, turn), classes) if turn < ROUNDS else _left_pairs(stage(known, "known"), texts_of), "pairs")
-        links = stage(verified(pairs, texts_of(pairs)), "links") if pairs.limit(1).count() else None
-        if links is not None and links.limit(1).count():
+        pairs = stage(_likely(_leader_pairs(known, turn), classes), "pairs")
+        links = stage(verified(pairs, texts_of(pairs.select("a").union(pairs.select("b")))), "links") if pairs.limit(1).count() else pairs
+        asked, found = pairs.count(), links.count()
+        unstage(pairs)
+        if found:
             roots = _connected(roots, links)
-        elif turn < ROUNDS:  # leaders find nothing any more: all pairs that are left
-            known = stage(known, "known")
-            pairs = stage(_left_pairs(known, texts_of), "pairs")
-            if pairs.limit(1).count():
-                roots = _connected(roots, stage(verified(pairs, texts_of(pairs)), "links"))
+        if found * LEAST_FOUND < asked or not found:  # leaders find little any more
             break
+    known = buckets.join(roots.select(F.col("id").alias("rep"), "root"), "rep").join(classes.select("rep", bands.alias("bands")), "rep")
+    links = stage(_left_links(known, texts_of), "links")
+    unstage(popular)
+    if links.limit(1).count():
+        roots = _connected(roots, links)
     unstage(buckets)
     grouped = members.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("class_id"))
     return grouped.groupBy("id").agg(F.min("class_id").alias("class_id")).unionByName(others.select("id", F.col("id").alias("class_id")))
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near-duplicates: the one with the smallest id. Rows with a null id stay."""
+    """docs with one row of each group of near-duplicates: the one with the smallest id, whatever other columns there are.
+
+    Rows with a null id stay. Of several rows with the id that stays the least by all columns does."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    dropped = stage(found.filter("id <> class_id").select(F.col("id").alias("__id")).distinct(), "dropped")
-    kept = docs.join(small(dropped), F.col(id_col) == F.col("__id"), "left_anti")
-    again = stage(kept.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).count().filter("count > 1").select("__id"), "again")
+    other, row = unused("id", docs), unused("row", docs)
+    dropped = stage(found.filter("id <> class_id").select(F.col("id").alias(other)).distinct(), "dropped")
+    kept = docs.join(small(dropped), named(id_col) == named(other), "left_anti")
+    again = stage(kept.filter(named(id_col).isNotNull()).groupBy(named(id_col).alias(other)).count().filter("count > 1").select(named(other)), "again")
     if not again.limit(1).count():
         return kept
-    once = kept.join(small(again), F.col(id_col) == F.col("__id"), "left_anti")
-    first = kept.join(small(again), F.col(id_col) == F.col("__id"), "left_semi").groupBy(F.col(id_col).alias("__g")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
-    return once.unionByName(first.select("__row.*"))
+    once = kept.join(small(again), named(id_col) == named(other), "left_anti")
+    first = kept.join(small(again), named(id_col) == named(other), "left_semi").groupBy(named(id_col).alias(other)).agg(F.min(F.struct(*map(named, docs.columns))).alias(row))
+    return once.unionByName(first.select(f"{row}.*"))
 
 
 def op8_neardup(spark, sf_dir: str) -> DataFrame:
