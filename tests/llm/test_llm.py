@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, lm, mixing, neardup, pieces, quality, tokenfiles, topk, toxicity, vectors, warc
+from loomgraph.llm import ann, mixing, neardup, pieces, quality, tokenfiles, topk, toxicity, vectors, warc
 from loomgraph.llm.common import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -272,68 +272,3 @@ def test_thresholds_are_ordered():
     x = [(np.array([int(g), 10]), np.array([1.0, rng.random()], dtype=np.float32)) for g in grades]
     _, cut = quality.fit_cumulative(x, grades, n_grades=4)
     assert (np.diff(cut) > 0).all()
-
-
-def test_lm_windows_score_each_place_once():
-    rng = np.random.default_rng(0)
-    classes = rng.integers(0, lm.HEAD + 1, 500)
-    starts = np.array([0, 1, 40, 41, 300])
-    _, y, keep, order = lm.windows(classes, starts)
-    assert sorted(order) == list(range(500)) and (y[keep] == classes[order]).all()
-
-
-def test_lm_windows_leave_half_a_window_of_context():
-    lengths = np.array([1, 31, 32, 33, 200, 17])
-    starts = np.cumsum(lengths) - lengths
-    _, _, keep, order = lm.windows(np.arange(lengths.sum()) % lm.HEAD, starts)
-    in_text = order - np.repeat(starts, lengths)[order]
-    assert (np.nonzero(keep)[1] >= np.minimum(in_text, lm.WINDOW // 2)).all()
-
-
-def test_lm_gradient_and_causality():
-    rng = np.random.default_rng(1)
-    net = lm.Network.fresh(np.full(lm.HEAD + 1, 1 / (lm.HEAD + 1)))
-    x, y = rng.integers(0, lm.HEAD + 1, (3, lm.WINDOW)), rng.integers(0, lm.HEAD + 1, (3, lm.WINDOW))
-    keep = np.ones_like(x, dtype=bool)
-    before = net.log_probabilities(x, y, keep).reshape(x.shape)
-    later = x.copy()
-    later[:, 20:] = 1
-    assert np.allclose(before[:, :20], net.log_probabilities(later, y, keep).reshape(x.shape)[:, :20], atol=1e-4)
-    g = net.gradient(x, y, keep)
-    for i in rng.integers(0, len(net.flat), 12):
-        old = net.flat[i]
-        net.flat[i] = old + 1e-2
-        up = -net.log_probabilities(x, y, keep).mean()
-        net.flat[i] = old - 1e-2
-        down = -net.log_probabilities(x, y, keep).mean()
-        net.flat[i] = old
-        assert g[i] == pytest.approx((up - down) / 2e-2, abs=2e-3)
-
-
-def test_lm_counts(spark, odd, empty):
-    docs = spark.createDataFrame([(1, "a b a", "en", "s", 0), (2, "A c", "en", "s", 0), (3, "a zz", "en", "s", 0), (4, None, "en", "s", 0)], DOCS)
-    got = {r["doc_id"]: r for r in lm.scored(docs, F.col("doc_id").isin(1, 2), RANKS, public_tokenizers.PATTERN).collect()}
-    counts, n, v = {"a": 3, "b": 1, "c": 1, "end": 2}, 7, 4
-    log = lambda w: np.log10((counts.get(w, 0) + 0.5) / (n + 0.5 * (v + 1)))
-    for i, words in ((1, "a b a end"), (2, "a c end"), (3, "a zz end"), (4, "end")):
-        words = words.split()
-        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(words), sum(w in counts for w in words), n)
-        assert got[i]["base_score"] == pytest.approx(sum(map(log, words))) and got[i]["score"] < 0
-    assert lm.scored(odd, F.lit(True), RANKS, public_tokenizers.PATTERN).count() == odd.count()
-    assert lm.scored(empty, F.lit(True), RANKS, public_tokenizers.PATTERN).count() == 0
-
-
-def test_lm_passes_cover_all_windows():
-    for n, steps in ((1, 3), (100, 3), (5000, 3), (1000, 40)):
-        order = lm.passes(n, steps, np.random.default_rng(0))
-        assert len(order) >= steps and max(map(len, order)) <= lm.BATCH
-        assert set(np.bincount(np.concatenate(order), minlength=n)) == {-(-steps // -(-n // lm.BATCH))}
-
-
-def test_lm_learns_from_every_training_document(spark, monkeypatch):
-    ids = [r["id"] for r in spark.range(40).filter(F.pmod(F.xxhash64("id"), F.lit(8)) != 0).limit(9).collect()]
-    docs = spark.createDataFrame([(i, "zebra quartz " * 20, "en", "s", 0) for i in ids], DOCS)
-    score = lambda: sum(r["score"] for r in lm.scored(docs, F.lit(True), RANKS, public_tokenizers.PATTERN).collect())
-    trained = score()
-    monkeypatch.setattr(lm, "train_network", lambda docs, shared, name, pattern, network: network)
-    assert trained > score() + 1
