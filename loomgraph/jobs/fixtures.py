@@ -6,8 +6,13 @@ that follow each other for calls. `ord` is a text that sorts as (phase, file, pl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import ClassVar
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import stage
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 SUP = """
@@ -105,11 +110,12 @@ call_sites as (
   from lineitem l join rsup c on l.l_suppkey = c.sk cross join nsup join rsup h on h.sk = l.l_partkey % nsup.n left join first_method f on f.class_name = c.cls
 ),
 files as (select distinct g, path from rsup),
+steps as (select distinct cast(l_linenumber as bigint) as d from lineitem),
 imports as (
-  select 'tpch' as repo, f.path as file_path, s.pkg || '.' || s.cls as import from files f join rsup s on s.sk % 3 = f.g % 3 where f.g % 4 = 1
+  select 'tpch' as repo, f.path as file_path, s.pkg || '.' || s.cls as import from files f cross join steps join rsup s on s.sk = f.g + 3 * steps.d where f.g % 4 = 1
   union all select 'tpch', path, 'com.acme.n' || cast((g + 1) % 5 as string) || '.*' from files where g % 4 = 2
-  union all select 'tpch', f.path, 'static ' || s.pkg || '.' || s.cls || '.*' from files f join rsup s on s.sk >= f.g and s.sk <= f.g + 4 where f.g % 8 = 7
-  union all select 'tpch', f.path, 'static ' || s.pkg || '.' || s.cls || '.*' from files f join rsup s on s.sk = f.g or s.sk = f.g + 13 where f.g % 8 = 3
+  union all select 'tpch', f.path, 'static ' || s.pkg || '.' || s.cls || '.*' from files f cross join steps join rsup s on s.sk = f.g + steps.d - 1 where f.g % 8 = 7 and steps.d <= 5
+  union all select 'tpch', f.path, 'static ' || s.pkg || '.' || s.cls || '.*' from files f cross join steps join rsup s on s.sk = f.g + (steps.d - 1) * 13 where f.g % 8 = 3 and steps.d <= 2
   union all select 'tpch', f.path, 'static ' || s.pkg || '.' || s.cls || '.m7' from files f join rsup s on s.sk = f.g + 1 where f.g % 4 = 0
 )"""
 
@@ -123,23 +129,32 @@ changes as (
 
 
 class Tables:
-    """The derived tables over one directory of source tables, as DataFrames."""
+    """The derived tables over one directory of source tables, as DataFrames. Nodes and edges are written once for a
+    session and directory, in the shared folder, and read from there by every query."""
+
+    _staged: ClassVar[dict[tuple[str, str, str], DataFrame]] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark, self.sf_dir = spark, sf_dir
         for t in TABLES:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
     def get(self, parts: str, name: str) -> DataFrame:
         return self.spark.sql(f"with {parts} select * from {name}")
 
+    def staged(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in self._staged:
+            self._staged[key] = stage(make(), name)
+        return self._staged[key]
+
     @property
     def nodes(self) -> DataFrame:
-        return self.get(NODES, "nodes")
+        return self.staged("nodes", lambda: self.get(NODES, "nodes"))
 
     @property
     def edges(self) -> DataFrame:
-        return self.get(EDGES, "edges")
+        return self.staged("edges", lambda: self.get(EDGES, "edges"))
 
     def sql(self, text: str) -> DataFrame:
         return self.spark.sql(text)

@@ -11,8 +11,8 @@ from ..operators import build as B
 from ..operators.merge import merge_incremental
 from ..operators.patterns import first_wins
 from ..operators.resolve import call_edges, import_scope, resolve_calls, resolve_inheritance
-from ..operators.traversal import _kept
 from ..schemas import EDGES, NODES
+from ..shared import stage
 from ..sources.javaparse import parse_sources
 
 
@@ -25,7 +25,7 @@ def index_full(sources: DataFrame, mode: str = "fallback", lookup_methods: DataF
     """(nodes, edges) of sources (repo, file_path, source). Parsed rows are written once, for five branches read them.
 
     Calls and supertypes resolve within the sources, or against the given methods and types."""
-    parsed = _kept(parse_sources(sources, mode))
+    parsed = stage(parse_sources(sources, mode), "parsed")
     files = parsed.select("repo", "file_path", "package_name")
     types = B.explode_types(parsed)
     fields, methods, imports = B.explode_fields(types), B.explode_methods(types), B.explode_imports(parsed)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import owner_type
-from .traversal import _kept
+from ..shared import stage
 
 #: What each rule says of itself; the first that applies decides.
 STATIC, HINT, HINT_ANY = ("static-import-owner-arity-exact", 0.9), ("qualifiedName-exact", 0.95), ("qualifiedName-exact-no-arity", 0.6)
@@ -40,27 +40,46 @@ def _lookup(methods: DataFrame, *key: str) -> DataFrame:
 def _find(calls: DataFrame, methods: DataFrame, as_: str, **key: str) -> DataFrame:
     """calls with the column `as_`: the first method whose columns (the names of key) equal the call's (its values)."""
     table = _lookup(methods, *key)
-    table = table.select("repo", *[F.col(m).alias(f"__{m}") for m in key], F.col("m").alias(as_))
-    same = reduce(lambda a, b: a & b, [calls["repo"] == table["repo"]] + [calls[c] == table[f"__{m}"] for m, c in key.items()])
-    return calls.join(table, same, "left").select(calls["*"], as_)
-
-
-def _scoped(calls: DataFrame, base: DataFrame, methods: DataFrame, scope: DataFrame, as_: str, **key: str) -> DataFrame:
-    """calls with `as_`: the first method with this key in the caller's package, an imported package or type.
-
-    base holds the call keys alone, so that looking them up doesn't repeat the lookups that calls carries already."""
-    own = _find(calls, methods, f"{as_}_own", **key, package_name="pkg")
-    out = own
-    for kind, column in (("wildcard", "package_name"), ("type", "owner")):
-        table = _lookup(methods, *key, column).select(F.col("repo").alias("__repo"), *[F.col(m).alias(f"__{m}") for m in key], F.col(column).alias("__owner"), "m")
-        imported = scope.filter(F.col("kind") == kind).select(F.col("repo").alias("s_repo"), F.col("file_path").alias("s_file"), F.col("owner").alias("s_owner")).distinct()
-        keys = base.select("key_id", "repo", "file", *key.values())
-        hit = keys.join(imported, (keys["repo"] == F.col("s_repo")) & (keys["file"] == F.col("s_file")))
-        same = reduce(lambda a, b: a & b, [F.col("repo") == F.col("__repo"), F.col("s_owner") == F.col("__owner")] + [F.col(c) == F.col(f"__{m}") for m, c in key.items()])
-        best = hit.join(table, same).groupBy("key_id").agg(F.min("m").alias(f"{as_}_{kind}"))
-        out = out.join(best, "key_id", "left")
-    parts = [f"{as_}_own", f"{as_}_wildcard", f"{as_}_type"]
-    return out.withColumn(as_, F.least(*parts)).drop(*parts)
+    table = table.select(F.col("repo").alias("__repo"), *[F.col(m).alias(f"__{m}") for m in key], F.col("m").alias(as_))
+    same = reduce(lambda a, b: a & b, [F.col("repo") == F.col("__repo")] + [F.col(c) == F.col(f"__{m}") for m, c in key.items()])
+    return calls.join(table, same, "left").drop("__repo", *[f"__{m}" for m in key])
+
+
+def _in_scope(asked: DataFrame, methods: DataFrame, imported: DataFrame) -> DataFrame:
+    """(repo, file, pkg, nm, ar, n_scope) for asked (repo, file, pkg, nm, ar): the first method of this name and arity in
+    the caller's package, an imported package or an imported type.
+
+    Each question meets the imports of its file, one table for both kinds, and then a row a (name, arity, owner)."""
+    by = lambda kind, column: methods.select("repo", F.lit(kind).alias("kind"), F.col(column).alias("owner"), F.col("name").alias("nm"), F.col("arity").alias("ar"), "ord", "id")
+    table = by("wildcard", "package_name").unionByName(by("type", "owner")).groupBy("repo", "kind", "owner", "nm", "ar").agg(F.min(F.struct("ord", "id")).alias("m"))
+    places = asked.join(imported, ["repo", "file"]).select("repo", "file", "pkg", "nm", "ar", "kind", "owner")
+    own = asked.select("repo", "file", "pkg", "nm", "ar", F.lit("wildcard").alias("kind"), F.col("pkg").alias("owner"))
+    return places.unionByName(own).join(table, ["repo", "kind", "owner", "nm", "ar"]).groupBy("repo", "file", "pkg", "nm", "ar").agg(F.min("m").alias("n_scope"))
+
+
+def _by_hint(keys: DataFrame, methods: DataFrame, imported: DataFrame) -> DataFrame:
+    """(key_id, h, g): what a hint decides, by qualified name with the right arity (h) or any (g): in the class, the file,
+    the scope, anywhere. Only keys with a hint come here, so no null is a key of these joins.
+
+    A hint fixes its owner, so an imported type is one look at the imports, and an imported package one more for each of
+    the few packages that a qualified name can lie in."""
+    asked = keys.filter("hint is not null").withColumn("hint_owner", owner_type(F.col("hint")))
+    asked = stage(_find(asked, methods, "g_any", qualified_name="hint").filter("g_any is not null"), "hinted")
+    types = imported.filter("kind = 'type'").select("repo", "file", F.col("owner").alias("hint_owner"), F.lit(True).alias("typed"))
+    packages = imported.filter("kind = 'wildcard'").select("repo", "file", F.col("owner").alias("package_name"))
+    out = asked.join(types, ["repo", "file", "hint_owner"], "left")
+    for tag, more in (("h", {"arity": "ar"}), ("g", {})):
+        if tag == "h":
+            out = _find(out, methods, "h_any", qualified_name="hint", **more)
+        out = _find(out, methods, f"{tag}_class", qualified_name="hint", class_name="cls", **more)
+        out = _find(out, methods, f"{tag}_file", qualified_name="hint", file_path="file", **more)
+        table = _lookup(methods, "qualified_name", "package_name", *more).withColumnsRenamed({"qualified_name": "hint", "arity": "ar"})
+        near = asked.select("key_id", "repo", "file", "pkg", "hint", "ar").join(table, ["repo", "hint", *more.values()])
+        inside = near.join(packages, ["repo", "file", "package_name"], "left_semi").select("key_id", "m").unionByName(near.filter("package_name = pkg").select("key_id", "m"))
+        out = out.join(inside.groupBy("key_id").agg(F.min("m").alias(f"{tag}_package")), "key_id", "left")
+    scope = lambda tag: F.least(f"{tag}_package", F.when(F.col("typed"), F.col(f"{tag}_any")))
+    pick = lambda tag: F.when(F.col(f"{tag}_any").isNotNull(), F.coalesce(f"{tag}_class", f"{tag}_file", scope(tag), f"{tag}_any")).alias(tag)
+    return out.select("key_id", pick("h"), pick("g"))
 
 
 def resolve_calls(call_sites: DataFrame, method_refs: DataFrame, scope: DataFrame) -> DataFrame:
@@ -77,43 +96,37 @@ def resolve_calls(call_sites: DataFrame, method_refs: DataFrame, scope: DataFram
     the class, the file, the imports, anywhere; then the name alone. A site that resolves to its own method has no edge.
     """
     sites = call_sites.filter("unsupported_reason is null")
-    ask = ["repo", "caller_class", "caller_file", "caller_pkg", "simple_name", "hint", "arg_count"]
-    keys = sites.select(*ask).distinct()
-    keys = keys.select(F.sha2(F.to_json(F.struct(*ask)), 256).alias("key_id"), "repo", F.col("caller_class").alias("cls"), F.col("caller_file").alias("file"), F.col("caller_pkg").alias("pkg"), F.col("simple_name").alias("nm"), "hint", F.col("arg_count").cast("int").alias("ar"))
-    keys = _kept(keys)
+    asked = {"repo": "repo", "caller_class": "cls", "caller_file": "file", "caller_pkg": "pkg", "simple_name": "nm", "hint": "hint", "arg_count": "ar"}
+    keys = sites.select(*[F.col(c).cast("int" if c == "arg_count" else "string").alias(n) for c, n in asked.items()]).distinct()
+    keys = stage(keys.withColumn("key_id", F.monotonically_increasing_id()), "keys")
     methods = method_refs.select("repo", "id", "name", "class_name", "file_path", "package_name", "qualified_name", F.col("parameter_count").cast("int").alias("arity"), "ord", owner_type(F.col("qualified_name")).alias("owner"))
-    methods = _kept(methods)
+    methods = stage(methods, "methods")
+    imports = scope.select("repo", F.col("file_path").alias("file"), "kind", "owner", "member").distinct()
+    imported = imports.filter("kind in ('wildcard', 'type')").select("repo", "file", "kind", "owner")
 
     # Static imports: how many methods the allowed owners have under this name and arity.
     free = keys.filter("hint is null").select("key_id", "repo", "file", "nm", "ar")
-    static = scope.filter("kind in ('static_wildcard', 'static_member')").select("repo", F.col("file_path").alias("file"), F.col("owner").alias("s_owner"), F.col("member").alias("s_member")).distinct()
-    allowed = free.join(static, ["repo", "file"]).filter(F.col("s_member").isNull() | (F.col("s_member") == F.col("nm"))).select("key_id", "repo", "nm", "ar", "s_owner").distinct()
-    counted = methods.groupBy("repo", F.col("name").alias("nm"), F.col("arity").alias("ar"), F.col("owner").alias("s_owner")).agg(F.count("*").alias("n"), F.min(F.struct("ord", "id")).alias("m"))
-    owned = allowed.join(counted, ["repo", "nm", "ar", "s_owner"]).groupBy("key_id").agg(F.sum("n").alias("static_n"), F.min("m").alias("static_m"))
-
-    c = keys.join(owned, "key_id", "left")
-    for arity, tag in ((True, "h"), (False, "g")):
-        more = {"arity": "ar"} if arity else {}
-        c = _find(c, methods, f"{tag}_any", qualified_name="hint", **more)
-        c = _find(c, methods, f"{tag}_class", qualified_name="hint", class_name="cls", **more)
-        c = _find(c, methods, f"{tag}_file", qualified_name="hint", file_path="file", **more)
-        c = _scoped(c, keys, methods, scope, f"{tag}_scope", qualified_name="hint", **more)
+    static = imports.filter("kind in ('static_wildcard', 'static_member')").select("repo", "file", "owner", "member")
+    allowed = free.join(static, ["repo", "file"]).filter(F.col("member").isNull() | (F.col("member") == F.col("nm"))).select("key_id", "repo", "nm", "ar", "owner").distinct()
+    counted = methods.groupBy("repo", F.col("name").alias("nm"), F.col("arity").alias("ar"), "owner").agg(F.count("*").alias("n"), F.min(F.struct("ord", "id")).alias("m"))
+    owned = allowed.join(counted, ["repo", "nm", "ar", "owner"]).groupBy("key_id").agg(F.sum("n").alias("static_n"), F.min("m").alias("static_m"))
+
+    place = ["repo", "file", "pkg", "nm", "ar"]
+    c = _find(keys, methods, "b_any", name="nm").filter("b_any is not null")  # a name that no method has is no edge
+    c = c.join(owned, "key_id", "left").join(_by_hint(keys, methods, imported), "key_id", "left")
     c = _find(c, methods, "n_class", name="nm", arity="ar", class_name="cls")
     c = _find(c, methods, "n_file", name="nm", arity="ar", file_path="file")
-    c = _scoped(c, keys, methods, scope, "n_scope", name="nm", arity="ar")
+    c = c.join(_in_scope(keys.select(*place).distinct(), methods, imported), place, "left")
     c = _find(c, methods, "n_any", name="nm", arity="ar")
     c = _find(c, methods, "b_class", name="nm", class_name="cls")
-    c = _find(c, methods, "b_any", name="nm")
 
-    pick = lambda tag: F.coalesce(f"{tag}_class", f"{tag}_file", f"{tag}_scope", f"{tag}_any")
     rule = lambda m, s: F.struct(m["id"].alias("target_id"), F.lit(s[0]).alias("strategy"), F.lit(s[1]).alias("confidence"))
     col = F.col
     decided = (
-        F.when(col("b_any").isNull(), None)
-        .when(col("static_n") == 1, rule(col("static_m"), STATIC))
+        F.when(col("static_n") == 1, rule(col("static_m"), STATIC))
         .when(col("static_n") > 1, None)
-        .when(col("h_any").isNotNull(), rule(pick("h"), HINT))
-        .when(col("g_any").isNotNull(), rule(pick("g"), HINT_ANY))
+        .when(col("h").isNotNull(), rule(col("h"), HINT))
+        .when(col("g").isNotNull(), rule(col("g"), HINT_ANY))
         .when(col("n_class").isNotNull(), rule(col("n_class"), SAME_CLASS))
         .when(col("n_file").isNotNull(), rule(col("n_file"), SAME_FILE))
         .when(col("n_scope").isNotNull(), rule(col("n_scope"), IN_SCOPE))
@@ -121,8 +134,9 @@ def resolve_calls(call_sites: DataFrame, method_refs: DataFrame, scope: DataFram
         .when(col("b_class").isNotNull(), rule(col("b_class"), CLASS_ANY))
         .otherwise(rule(col("b_any"), FALLBACK))
     )
-    answers = c.select("key_id", decided.alias("d")).filter("d is not null").select("key_id", "d.*")
-    out = sites.withColumn("key_id", F.sha2(F.to_json(F.struct(*ask)), 256)).join(answers, "key_id").filter(F.col("caller_method_id") != F.col("target_id"))
+    answers = c.select(*[F.col(n).alias(f"__{n}") for n in asked.values()], decided.alias("d")).filter("d is not null").select("*", "d.*").drop("d")
+    same = reduce(lambda a, b: a & b, [sites[x].eqNullSafe(F.col(f"__{n}")) for x, n in asked.items()])
+    out = sites.join(answers, same).filter(F.col("caller_method_id") != F.col("target_id"))
     return out.select("repo", F.col("caller_method_id").alias("source_id"), "target_id", F.lit("CALLS").alias("type"), "strategy", "confidence", F.col("line").cast("long").alias("line"), "source", "simple_name")
 
 

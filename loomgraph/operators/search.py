@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import document_text, tokenize
+from ..shared import stage
 from .patterns import searchable_nodes
 
 K1, B = 1.2, 0.75
@@ -32,7 +33,7 @@ def average_length(docs: DataFrame) -> DataFrame:
 def document_frequency(tf: DataFrame, sizes: DataFrame) -> DataFrame:
     """(repo, token, df, idf)."""
     df = tf.groupBy("repo", "token").agg(F.count("*").alias("df"))
-    return df.join(F.broadcast(sizes), "repo").select("repo", "token", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    return df.join(sizes, "repo").select("repo", "token", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def bm25_search(nodes: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -42,17 +43,18 @@ def bm25_search(nodes: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT
     the queries' tokens before anything is grouped, so tokens that every path holds cost nothing unless asked for.
     """
     asked = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    docs = documents(nodes)
+    docs = stage(documents(nodes).select("repo", "id", "ord", "length", "tokens"), "documents")  # tokenized once
     sizes = average_length(docs)
     wanted = asked.select("token").distinct()
-    postings = docs.select("repo", "id", "length", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("repo", "id", "token", "length").agg(F.count("*").alias("tf"))
+    postings = docs.select("repo", "id", "ord", "length", F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("repo", "id", "ord", "length", "token").agg(F.count("*").alias("tf"))
+    postings = stage(postings, "postings")
     frequency = postings.groupBy("repo", "token").agg(F.count("*").alias("df"))
-    weighed = postings.join(frequency, ["repo", "token"]).join(sizes, "repo")
+    weighed = postings.join(frequency.join(sizes, "repo"), ["repo", "token"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    scores = weighed.select("repo", "id", "token", gain.alias("gain")).join(asked, "token").groupBy("query_id", "repo", "id").agg(F.round(F.sum(F.col("gain") * F.col("times")), 4).alias("score")).filter("score > 0")
-    hits = scores.join(nodes, ["repo", "id"])
-    return search_rank(hits).filter(F.col("rank") <= limit)
+    scores = weighed.select("repo", "id", "ord", "token", gain.alias("gain")).join(asked, "token").groupBy("query_id", "repo", "id", "ord").agg(F.round(F.sum(F.col("gain") * F.col("times")), 4).alias("score")).filter("score > 0")
+    best = search_rank(scores).filter(F.col("rank") <= limit).drop("ord")
+    return best.join(nodes, ["repo", "id"])
 
 
 def search_rank(hits: DataFrame) -> DataFrame:

@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import stage, unstage
 from .patterns import match_edges
 
 DEFAULT_DEPTH = 3
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df written to the folder that the cluster shares and read back, so that a level's plan doesn't hold all before it."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
-        root = spark.sparkContext.getCheckpointDir()
-    path = f"{root.rstrip('/')}/levels-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, *, direction: str = "upstream", max_depth: int = DEFAULT_DEPTH) -> DataFrame:
     """(query_id, repo, id, name, label, depth, via) for targets (query_id, target): all that reaches, or is reached
     from, any node named target, along every kind of edge.
@@ -36,15 +22,15 @@ def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, *, direction:
     ends = nodes.select("repo", F.col("id").alias("end"))
     whole = edges.join(ends.withColumnRenamed("end", "source_id"), ["repo", "source_id"], "left_semi").join(ends.withColumnRenamed("end", "target_id"), ["repo", "target_id"], "left_semi")
     here, there = ("target_id", "source_id") if direction == "upstream" else ("source_id", "target_id")
-    steps = _kept(whole.select("repo", F.col(here).alias("at"), F.col(there).alias("id"), F.col("type").alias("kind"), F.col("ord").alias("step")))
+    steps = stage(whole.select("repo", F.col(here).alias("at"), F.col(there).alias("id"), F.col("type").alias("kind"), F.col("ord").alias("step")), "steps")
     starts = targets.join(nodes.select("repo", "id", F.col("name").alias("target"), "ord"), "target")
-    frontier = _kept(starts.select("query_id", "repo", "id", F.array(F.struct("ord")).alias("path_key")))
+    frontier = stage(starts.select("query_id", "repo", "id", F.array(F.struct("ord")).alias("path_key")), "level0")
     visited, found = frontier.select("query_id", "repo", "id"), None
     for depth in range(1, max_depth + 1):
         reached = frontier.withColumnRenamed("id", "at").join(steps, ["repo", "at"])
         reached = reached.select("query_id", "repo", "id", "kind", F.concat("path_key", F.array(F.struct(F.col("step").alias("ord")))).alias("path_key"))
         new = reached.join(visited, ["query_id", "repo", "id"], "left_anti").groupBy("query_id", "repo", "id").agg(F.min_by("kind", "path_key").alias("via"), F.min("path_key").alias("path_key"))
-        frontier = _kept(new)
+        frontier = stage(new, f"level{depth}")
         level = frontier.select("query_id", "repo", "id", "via", F.lit(depth).alias("depth"))
         found = level if found is None else found.unionByName(level)
         visited = visited.unionByName(frontier.select("query_id", "repo", "id"))
@@ -82,12 +68,12 @@ def impact_paths(nodes: DataFrame, edges: DataFrame, targets: DataFrame, *, max_
 def inheritance_chain(nodes: DataFrame, edges: DataFrame, classes: DataFrame) -> DataFrame:
     """(query_id, id, name) of all that the first class of each name extends, directly or not; cycles end."""
     first = nodes.filter("label = 'Class'").groupBy("name").agg(F.min_by(F.struct("repo", "id"), "ord").alias("c"))
-    frontier = _kept(classes.join(first, "name").select("query_id", "c.repo", "c.id"))
-    steps = _kept(match_edges(nodes, edges, kind="EXTENDS").select("repo", F.col("source_id").alias("at"), F.col("target_id").alias("id")))
+    frontier = stage(classes.join(first, "name").select("query_id", "c.repo", "c.id"), "classes")
+    steps = stage(match_edges(nodes, edges, kind="EXTENDS").select("repo", F.col("source_id").alias("at"), F.col("target_id").alias("id")), "extends")
     visited, found = frontier, None
     while True:
         new = frontier.withColumnRenamed("id", "at").join(steps, ["repo", "at"]).select("query_id", "repo", "id").distinct().join(visited, ["query_id", "repo", "id"], "left_anti")
-        frontier = _kept(new)
+        frontier = stage(new, "supertypes")
         if found is not None and not frontier.limit(1).count():
             break
         found = frontier if found is None else found.unionByName(frontier)
