@@ -32,8 +32,8 @@ def owner_type(qualified_name: Column) -> Column:
 
 
 def clean_type_name(text: Column) -> Column:
-    """A written type without type arguments, array marks or wildcards."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "<[^<>]*>", ""), r"(\[\])+$", ""), r"^\?\s*.*$", ""))
+    """A written type without its innermost type arguments, one pair of array marks, and all from a wildcard on."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(text), "<[^<>]*>", ""), r"\[\]$", ""), r"\?.*$", ""))
 
 
 def simple_type_name(text: Column) -> Column:

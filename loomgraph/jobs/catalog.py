@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -14,24 +12,20 @@ from ..operators import resolve as R
 from ..operators import search as S
 from ..operators import traversal as V
 from . import fixtures as T
+from .registry import ORACLES, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
+__all__ = ["ORACLES", "QUERIES"]
 
-def query(name: str, oracle: str | None = None):
-    """Register a function of the derived tables as a query, with its SQL."""
 
-    def put(f):
-        QUERIES[name] = lambda spark, sf_dir: f(T.Tables(spark, sf_dir))
-        if oracle:
-            ORACLES[name] = oracle
-        return f
 
-    return put
+def _once(text: str) -> str:
+    """DuckDB works out nodes, edges and calls once a query instead of at each mention."""
+    for name in ("nodes", "edges", "called"):
+        text = text.replace(f"\n{name} as (", f"\n{name} as materialized (")
+    return text
 
 
-N, E = f"with {T.NODES}", f"with {T.EDGES}"
+N, E = _once(f"with {T.NODES}"), _once(f"with {T.EDGES}")
 RES, CHG = f"with {T.RESOLVER}", f"with {T.CHANGES}"
 LABELLED = "'Class','Interface','Enum','Annotation','Method','Constructor','Field'"
 CLASS_NAMES = "select 'Supplier' || cast(s_suppkey as string) as name from supplier"
@@ -44,15 +38,16 @@ query("nodes_by_label_name", f"{N} select id, name from nodes where label = 'Con
 
 SYMBOLS = "select s_suppkey as query_id, case when s_suppkey % 2 = 0 then 'Supplier' || cast(s_suppkey as string) else 'com.acme.n' || cast(s_nationkey as string) || '.Supplier' || cast(s_suppkey as string) end as symbol from supplier"
 query("nodes_by_name_or_qname", f"{N}, q as ({SYMBOLS}) select query_id, id from nodes, q where name = symbol or qualified_name = symbol")(lambda t: P.nodes_by_name_or_qname(t.nodes, t.sql(SYMBOLS)).select("query_id", "id"))
-query("nodes_name_contains", f"{N} select id, name from nodes where contains(name, 'plier1') and label = 'Class'")(lambda t: P.nodes_name_contains(t.nodes, "plier1", "Class").select("id", "name"))
+query("nodes_name_contains", f"{N} select row_number() over (order by name, id) as position, id, name from nodes where contains(name, 'plier1') and label = 'Class'")(lambda t: P.numbered(P.nodes_name_contains(t.nodes, "plier1", "Class")).select("position", "id", "name"))
 PACKAGES = "select 'com.acme.n' || cast(n_nationkey as string) as package from nation union all select 'com.acme'"
 query("classes_in_package", f"{N}, q as ({PACKAGES}) select package, id from nodes, q where label = 'Class' and starts_with(qualified_name, package || '.')")(lambda t: P.classes_in_package(t.nodes, t.sql(PACKAGES)).select("package", "id"))
 query("searchable_nodes", f"{N} select id from nodes where label in ({LABELLED})")(lambda t: P.searchable_nodes(t.nodes).select("id"))
 query("edges_by_type", f"{E} select id, source_id, target_id from edges where type = 'IMPLEMENTS'")(lambda t: P.edges_by_type(t.edges, "IMPLEMENTS").select("id", "source_id", "target_id"))
 query("limit_n", f"{N} select id, name from nodes where label = 'Method' order by ord limit 20")(lambda t: P.limit_n(P.nodes_by_label(t.nodes, "Method")).select("id", "name"))
-query("sort_names", f"{N} select id, name from nodes where label = 'Interface'")(lambda t: P.sort_names(P.nodes_by_label(t.nodes, "Interface")).select("id", "name"))
+query("sort_names", f"{N} select row_number() over (order by name, id) as position, id, name from nodes where label = 'Method'")(lambda t: P.numbered(P.sort_names(P.nodes_by_label(t.nodes, "Method"))).select("position", "id", "name"))
 query("symbol_view", f'{N} select id, name, label as type, qualified_name as "qualifiedName", file_path as file, return_type as "returnType", type as "fieldType" from nodes')(lambda t: P.symbol_view(t.nodes))
 query("return_columns", f'{N} select name as "n.name", label as "n.label", cast(null as varchar) as "n.nothing" from nodes')(lambda t: P.return_columns(t.nodes, "n", ["name", "label", "nothing"]))
+query("return_all_columns", f'{N} select id as "n.id", name as "n.name", label as "n.label" from nodes')(lambda t: P.return_columns(t.nodes.select("id", "name", "label"), "n", ["*"]))
 query("changed_java_paths", f"{CHG} select path from changes where lower(path) like '%.java'")(lambda t: M.changed_java_paths(t.get(T.CHANGES, "changes")).select("path"))
 
 # --- joins -------------------------------------------------------------------------------------------------------
@@ -67,6 +62,7 @@ query("distinct_pairs", f"{E} select distinct s.label as source_label, t.label a
 CALL_PAIRS = "select distinct 'handle' || cast(l_linenumber as string) as from_name, 'handle' || cast(l_linenumber + l_suppkey % 3 as string) as to_name from lineitem"
 query("call_exists", f"{E}, q as ({CALL_PAIRS}) select * from q where exists (select 1 from {ENDS} where e.type = 'CALLS' and s.name = q.from_name and t.name = q.to_name)")(lambda t: P.call_exists(t.nodes, t.edges, t.sql(CALL_PAIRS)))
 query("class_members", f"{E} select s.name as class_name, t.id as member_id, t.name as member from {ENDS} where s.label = 'Class' and t.label = 'Field' and e.type = 'CONTAINS'")(lambda t: P.class_members(t.nodes, t.edges, "Field"))
+query("class_member_methods", f"{E} select s.name as class_name, t.id as member_id, t.name as member from {ENDS} where s.label = 'Class' and t.label = 'Method' and e.type = 'CONTAINS' and s.name in ({CLASS_NAMES})")(lambda t: P.class_members(t.nodes, t.edges, "Method", t.sql(CLASS_NAMES)))
 METHODS = "select distinct 'handle' || cast(l_linenumber as string) as name from lineitem"
 query("method_callees", f"{E} select distinct s.name as method, t.name as callee, t.id as callee_id from {ENDS} where e.type = 'CALLS' and s.label = 'Method' and s.name in ({METHODS})")(lambda t: P.method_callees(t.nodes, t.edges, t.sql(METHODS)))
 query("method_callers", f"{E} select distinct t.name as method, s.name as caller, s.id as caller_id from {ENDS} where e.type = 'CALLS' and t.label = 'Method' and t.name in ({METHODS})")(lambda t: P.method_callers(t.nodes, t.edges, t.sql(METHODS)))
@@ -81,7 +77,7 @@ query("count_nodes", f"{N} select count(*) as n from nodes")(lambda t: P.count_n
 query("count_by_label", f"{N} select label, count(*) as n from nodes group by label")(lambda t: P.count_by_label(t.nodes))
 query("graph_stats", f"""{E} select count(*) as nodes, count(*) filter (label = 'Class') as classes, count(*) filter (label = 'Method') as methods, count(*) filter (label = 'Field') as fields,
 count(*) filter (label = 'Interface') as interfaces, count(*) filter (label = 'Enum') as enums, (select count(*) from edges) as relationships from nodes""")(lambda t: P.graph_stats(t.nodes, t.edges))
-query("methods_per_class", f"{E} select s.name as class_name, count(*) as methods from {ENDS} where s.label = 'Class' and t.label = 'Method' and e.type = 'CONTAINS' group by s.name")(lambda t: P.methods_per_class(t.nodes, t.edges))
+query("methods_per_class", f"{E} select row_number() over (order by count(*) desc, min(e.ord)) as position, s.name as class_name, count(*) as methods from {ENDS} where s.label = 'Class' and t.label = 'Method' and e.type = 'CONTAINS' group by s.name")(lambda t: P.numbered(P.methods_per_class(t.nodes, t.edges)))
 query("count_name_contains", f"{N} select count(*) as n from nodes where label in ('Class', 'Constructor') and contains(name, 'plier1')")(lambda t: P.count_name_contains(t.nodes, "plier1"))
 SAMPLES = "select event_type as scenario, value as latency_ms from events"
 query("latency_summary", "select event_type as scenario, count(*) as samples, round(quantile_disc(value, 0.5), 2) as p50_ms, round(quantile_disc(value, 0.95), 2) as p95_ms, round(count(*) / (sum(value) / 1000), 2) as throughput from events group by event_type")(lambda t: P.latency_summary(t.sql(SAMPLES)))
@@ -225,19 +221,22 @@ select path, bool_or(i) as to_index, bool_or(v) as to_invalidate from e where lo
 GONE = "select distinct 'tpch' as repo, 'src/n' || cast(s_nationkey as string) || '/Supplier' || cast(s_suppkey as string) || '.java' as file_path from supplier join orders on o_custkey = s_suppkey"
 PATCH_NODES = "select repo, id, label, name, qualified_name, package_name, class_name, file_path, return_type, type, '5|' || ord as ord from nodes where file_path in (select file_path from gone) and label in ('File', 'Class', 'Method')"
 PATCH_EDGES = "select repo, id, source_id, target_id, type, confidence, 'patch' as reason, line, '5|' || ord as ord from edges where source_id in (select id from patch_nodes) and type in ('CONTAINS', 'CALLS')"
-MERGE = f"{E}, gone as ({GONE}), patch_nodes as ({PATCH_NODES}), patch_edges as ({PATCH_EDGES})"
-MERGED = f"""{MERGE}, bad as (select id from nodes where file_path <> '' and file_path in (select file_path from gone)), keep as (select id, ord from nodes where id not in (select id from bad)),
-mn as (select id, ord from keep union all select id, ord from patch_nodes where id not in (select id from keep)),
+PATCHES = f"gone as ({GONE}), patch_nodes as ({PATCH_NODES}), patch_edges as ({PATCH_EDGES})"
+MERGE = f"{E}, {PATCHES}".replace("gone as (", "gone as materialized (").replace("patch_nodes as (", "patch_nodes as materialized (")
+MERGED = f"""{MERGE}, bad as materialized (select id from nodes where file_path <> '' and file_path in (select file_path from gone)), keep as materialized (select id, ord from nodes where id not in (select id from bad)),
+mn as materialized (select id, ord from keep union all select id, ord from patch_nodes where id not in (select id from keep)),
 be as (select id, reason from edges where source_id not in (select id from bad) and source_id in (select id from mn) and target_id in (select id from mn)),
 me as (select * from be union all select id, reason from patch_edges where source_id in (select id from mn) and target_id in (select id from mn) and id not in (select id from be))"""
 
 
 def _merged(t: T.Tables) -> tuple[DataFrame, DataFrame]:
-    at = lambda name: t.sql(f"{MERGE} select * from {name}")
+    at = lambda name: t.sql(f"with {T.EDGES}, {PATCHES} select * from {name}")
     return M.merge_incremental(t.nodes, t.edges, at("patch_nodes"), at("patch_edges"), at("gone"))
 
 
 query("merge_incremental_nodes", f"{MERGED} select id, ord from mn")(lambda t: _merged(t)[0].select("id", "ord"))
 query("merge_incremental_edges", f"{MERGED} select id, reason from me")(lambda t: _merged(t)[1].select("id", "reason"))
 query("invalidate_files", f"{MERGE} select id from nodes where file_path <> '' and file_path in (select file_path from gone)")(lambda t: M.invalidate_files(t.nodes, t.sql(GONE)).select("id"))
-query("union_graphs", f"{MERGE} select id, ord from nodes union all select id, ord from patch_nodes where id not in (select id from nodes)")(lambda t: M.union_graphs(t.nodes, t.sql(f"{MERGE} select * from patch_nodes")).select("id", "ord"))
+query("union_graphs", f"{MERGE} select id, ord from nodes union all select id, ord from patch_nodes where id not in (select id from nodes)")(lambda t: M.union_graphs(t.nodes, t.sql(f"with {T.EDGES}, {PATCHES} select * from patch_nodes")).select("id", "ord"))
+
+from . import index_queries, source_queries  # noqa: E402, F401  (they register their queries)

@@ -57,14 +57,18 @@ nodes as (
 )"""
 )
 
-EDGES = (
-    NODES
-    + """,
+CALLED = """
 called as (
   select distinct a.l_suppkey as s1, a.l_linenumber as n1, b.l_suppkey as s2, b.l_linenumber as n2
   from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1
   where a.l_suppkey <> b.l_suppkey
-),
+)"""
+
+EDGES = (
+    NODES
+    + ","
+    + CALLED
+    + """,
 raw_edges as (
   select 'project:tpch' as source_id, 'package:com.acme.n' || cast(n_nationkey as string) as target_id, 'CONTAINS' as type, cast(null as bigint) as line, '1|src/n' || cast(n_nationkey as string) || '|000' as ord from nation
   union all select 'package:' || pkg, 'file:' || path, 'CONTAINS', null, '1|' || path || '|001' from sup

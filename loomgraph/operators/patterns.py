@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..schemas import SEARCHABLE
+from ..shared import stage
 
 DEFAULT_LIMIT = 20
 
@@ -69,8 +71,19 @@ def symbol_view(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "name", F.col("label").alias("type"), F.col("qualified_name").alias("qualifiedName"), F.col("file_path").alias("file"), F.col("return_type").alias("returnType"), F.col("type").alias("fieldType"))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows, in the order that they come in, with `position` from 1; each task numbers its own range of them."""
+    ordered = stage(rows.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "ordered")
+    counts = ordered.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = counts.select("__part", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return ordered.join(starts, "__part").withColumn("position", F.col("__before") + F.col("__at") - F.col("__first") + 1).select(*rows.columns, "position")
+
+
 def return_columns(nodes: DataFrame, alias: str, properties: list[str]) -> DataFrame:
-    """The asked properties under the names alias.property; those a node can't have are null."""
+    """The asked properties under the names alias.property; those a node can't have are null. ["*"]: all columns."""
+    if properties == ["*"]:
+        return nodes.select(*[F.col(c).alias(f"{alias}.{c}") for c in nodes.columns])
     return nodes.select(*[(F.col(p) if p in nodes.columns else F.lit(None).cast("string")).alias(f"{alias}.{p}") for p in properties])
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import relative_path
@@ -10,10 +12,17 @@ from ..functions.text import relative_path
 REGISTRY = "name string, path string"
 
 
+def plain_path(uri: Column) -> Column:
+    """The path of a URI as Spark lists it: without scheme and authority, escapes decoded; a plain path stays."""
+    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    return F.when(uri.rlike("^[A-Za-z][A-Za-z0-9+.-]*:/"), F.regexp_replace(decoded, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")).otherwise(uri)
+
+
 def read_sources(spark: SparkSession, root: str, repo: str) -> DataFrame:
-    """(repo, file_path, source) of all .java files below root, one row a file."""
-    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.java").select(F.regexp_replace("_metadata.file_path", "^file:(//)?", "").alias("path"), F.col("value").alias("source"))
-    return rows.select(F.lit(repo).alias("repo"), relative_path(F.col("path"), F.lit(root.rstrip("/").removeprefix("file://"))).alias("file_path"), "source")
+    """(repo, file_path, source) of all .java files below root, one row a file; paths as they are named, not escaped."""
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.java").select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("source"))
+    bare = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "", root).rstrip("/")
+    return rows.select(F.lit(repo).alias("repo"), relative_path(F.col("path"), F.lit(bare)).alias("file_path"), "source")
 
 
 def read_sources_subset(sources: DataFrame, requested: DataFrame) -> DataFrame:

@@ -54,5 +54,31 @@ def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The graph that write_graph_json wrote; of several rows of an id the first in the file order wins."""
-    nodes = spark.read.schema(NODE_JSON).json(f"{path}/nodes").select("repo", "id", "label", "properties.*", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("at"))
-    return first_wins(nodes, ["repo", "id"], "at").drop("at"), spark.read.schema(EDGES).json(f"{path}/relationships")
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n")).alias("at")
+    nodes = spark.read.schema(NODE_JSON).json(f"{path}/nodes").select("repo", "id", "label", "properties.*", at)
+    edges = spark.read.schema(EDGES).json(f"{path}/relationships").select("*", at)
+    return first_wins(nodes, ["repo", "id"], "at").drop("at"), with_defaults(first_wins(edges, ["repo", "id"], "at").drop("at"))
+
+
+def _camel(name: str) -> str:
+    head, *rest = name.split("_")
+    return head + "".join(w.capitalize() for w in rest)
+
+
+_DOCUMENT = T.StructType(
+    [
+        T.StructField("nodes", T.ArrayType(T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.StringType()), T.StructField("properties", T.StructType([T.StructField(_camel(f.name), f.dataType) for f in PROPERTIES.fields]))]))),
+        T.StructField("relationships", T.ArrayType(T.StructType([T.StructField(_camel(n), t) for n, t in (("id", T.StringType()), ("source_id", T.StringType()), ("target_id", T.StringType()), ("type", T.StringType()), ("confidence", T.DoubleType()), ("reason", T.StringType()), ("line", T.LongType()))]))),
+    ]
+)
+
+
+def read_graph_document(spark: SparkSession, path: str, repo: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the JSON documents {nodes, relationships} at path, each the graph of one repository with names in
+    camel case, such as other tools store. The first of several nodes or edges of an id wins; absent confidences are 1.
+
+    A document is one JSON value, so one task reads it; graphs of many documents are read by many."""
+    read = spark.read.schema(_DOCUMENT).json(path, multiLine=True)
+    nodes = read.select("_metadata.file_path", F.posexplode("nodes").alias("pos", "n")).select(F.lit(repo).alias("repo"), "n.id", "n.label", F.col("n.properties").cast(PROPERTIES).alias("p"), F.struct("file_path", "pos").alias("at")).select("repo", "id", "label", "p.*", "at")
+    edges = read.select("_metadata.file_path", F.posexplode("relationships").alias("pos", "e")).select(F.lit(repo).alias("repo"), *[F.col(f"e.{_camel(f.name)}").alias(f.name) for f in EDGES.fields if f.name not in ("repo", "ord")], F.struct("file_path", "pos").alias("at"))
+    return first_wins(nodes, ["repo", "id"], "at").drop("at"), with_defaults(first_wins(edges, ["repo", "id"], "at").drop("at"))

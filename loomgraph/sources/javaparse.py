@@ -1,7 +1,9 @@
 """Source text to parsed rows: a scanner over one file at a time, run by mapInPandas over all of them.
 
-Mode "regex" finds types by a pattern and skips what lies within them; mode "structural" reads tokens and so also sees
-nested types, methods without a body, type arguments and several names in one declaration.
+Mode "regex" finds types by a pattern and skips types within them; it sees methods that begin a line, have one word for
+their type and no throws clause, and takes the line of the opening brace for a start. Mode "structural" reads tokens and
+so also sees nested types, methods without a body, type arguments and several names in one declaration; it takes the
+line of the declaration for a start.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ FIELD = "struct<name:string,type:string,modifiers:array<string>,line:int>"
 TYPE = f"struct<kind:string,name:string,modifiers:array<string>,super_class:string,interfaces:array<string>,start_line:int,end_line:int,fields:array<{FIELD}>,methods:array<{METHOD}>>"
 PARSED = f"repo string, file_path string, package_name string, imports array<string>, types array<{TYPE}>, parser_source string"
 
-#: Fixed values of the language: words that look like calls or names but are none, and its modifiers.
-KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "new", "throw", "else", "do", "try", "synchronized", "super", "this", "assert"}
+#: Words before a parenthesis that the pattern mode takes for no call and no method.
+KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "new", "super", "this", "throw", "try", "synchronized"}
+#: Words that the structural mode takes for none either.
+STATEMENTS = KEYWORDS | {"else", "do", "assert"}
 MODIFIERS = {"public", "protected", "private", "static", "final", "abstract", "synchronized", "native", "strictfp", "transient", "volatile", "default", "sealed"}
 KINDS = {"class": "Class", "interface": "Interface", "enum": "Enum", "@interface": "Annotation", "record": "Class"}
 
@@ -28,8 +32,9 @@ _PACKAGE = re.compile(r"^\s*package\s+([\w.]+)\s*;", re.M)
 _IMPORT = re.compile(r"^\s*import\s+((?:static\s+)?[\w.]+(?:\.\*)?)\s*;", re.M)
 _MODS = r"((?:(?:public|protected|private|static|final|abstract|sealed|strictfp)\s+)*)"
 _TYPE = re.compile(rf"\b{_MODS}(class|interface|enum)\s+(\w+)(?:\s+extends\s+([\w.<>]+))?(?:\s+implements\s+([^{{]+))?\s*\{{")
-_METHOD = re.compile(r"((?:(?:public|protected|private|static|final|abstract|synchronized|native|default)\s+)*)(?:([\w.<>\[\], ?]+?)\s+)?(\w+)\s*\(([^()]*)\)\s*(?:throws\s+[\w.,\s]+)?\{")
-_FIELD = re.compile(r"^\s*((?:(?:public|protected|private|static|final|transient|volatile)\s+)*)([\w.<>\[\],? ]+?)\s+(\w+)\s*(?:=.*)?;\s*$")
+#: A method begins a line, has one word for its type or none, no throws clause, and a body. A field's type is one word.
+_METHOD = re.compile(r"^\s*(?:@\w+(?:\([^)]*\))?\s*)*((?:(?:public|protected|private|static|final|abstract|synchronized|native|strictfp)\s+)*)(?:([A-Za-z_][\w<>\[\].?]*)\s+)?([A-Za-z_]\w*)\s*\(([^)]*)\)\s*\{", re.M)
+_FIELD = re.compile(r"\s*((?:(?:public|protected|private|static|final|transient|volatile)\s+)*)([A-Za-z_][\w<>\[\].?]*)\s+([A-Za-z_]\w*)\s*(?:=[^;]+)?;\s*$")
 _CALL = re.compile(r"(?:([\w.]+)\.)?(\b\w+)\s*\(")
 
 
@@ -96,23 +101,19 @@ def parse_by_pattern(source: str) -> tuple[str, list[str], list[dict]]:
         for i, line in enumerate(body.split("\n")):
             plain = line.split("//")[0].rstrip()
             f = _FIELD.match(plain) if "(" not in plain and not plain.lstrip().startswith("@") else None
-            if f and f[2] not in KEYWORDS and f[2].split()[0] not in KEYWORDS:
-                fields.append({"name": f[3], "type": f[2].strip(), "modifiers": _words(f[1]), "line": lines.at(opening + 1) + i})
-        methods, inside = [], 0
-        while d := _METHOD.search(body, inside):
-            stop = closing(body, d.end() - 1)
-            if d[3] in KEYWORDS or (d[2] or "").strip() in KEYWORDS:
-                inside = d.end()
+            if f:
+                fields.append({"name": f[3], "type": f[2], "modifiers": _words(f[1]), "line": lines.at(opening) + i})
+        methods = []
+        for d in _METHOD.finditer(body):
+            if d[3] in KEYWORDS:
                 continue
-            start = opening + 1 + d.start() + (len(d[0]) - len(d[0].lstrip()))
-            first = lines.at(start)
-            text = body[d.end() : stop]
+            brace = opening + d.end()
+            stop, first = closing(source, brace), lines.at(brace)
             methods.append(
-                {"name": d[3], "parameters": split_commas(d[4], ""), "return_type": None if d[3] == name else (d[2] or "void").strip(), "modifiers": _words(d[1]), "is_constructor": d[3] == name,
-                 "start_line": first, "end_line": lines.at(opening + 1 + stop), "calls": _calls_by_pattern(text, lines.at(opening + 1 + d.end()))}
+                {"name": d[3], "parameters": split_commas(d[4], ""), "return_type": d[2], "modifiers": _words(d[1]), "is_constructor": d[3] == name,
+                 "start_line": first, "end_line": lines.at(stop), "calls": _calls_by_pattern(source[brace + 1 : stop], first)}
             )
-            inside = stop + 1
-        types.append({"kind": KINDS[m[2]], "name": name, "modifiers": _words(m[1]), "super_class": m[4], "interfaces": split_commas(m[5] or "", ""), "start_line": lines.at(m.start()), "end_line": lines.at(end), "fields": fields, "methods": methods})
+        types.append({"kind": KINDS[m[2]], "name": name, "modifiers": _words(m[1]), "super_class": m[4], "interfaces": split_commas(m[5] or "", ""), "start_line": lines.at(opening), "end_line": lines.at(end), "fields": fields, "methods": methods})
         at = end + 1
     return package[1] if package else "", [i[1] for i in _IMPORT.finditer(source)], types
 
@@ -152,10 +153,8 @@ _ANNOTATION = re.compile(r"@\w[\w.]*(?:\s*\([^()]*\))?")
 
 
 def _bare(text: str) -> str:
-    """A written type without type arguments and array marks."""
-    while "<" in text and (t := re.sub(r"<[^<>]*>", "", text)) != text:
-        text = t
-    return re.sub(r"(\[\])+$", "", text.strip()).lstrip("?").strip()
+    """A written type cleaned by the rule of functions.text.clean_type_name."""
+    return re.sub(r"\?.*$", "", re.sub(r"\[\]$", "", re.sub(r"<[^<>]*>", "", text.strip())), flags=re.S).strip()
 
 
 def _header(rest: str) -> tuple[str | None, list[str]]:
@@ -181,7 +180,7 @@ def _structural_calls(text: str, start: int, end: int, lines: Lines, own: str, o
                 continue
             bare = _bare(super_class)
             name, qualifier = bare.split(".")[-1], bare if "." in bare else None
-        elif name in KEYWORDS or re.search(r"\bnew\s+$", text[max(start, m.start() - 8) : m.start()]):
+        elif name in STATEMENTS or re.search(r"\bnew\s+$", text[max(start, m.start() - 8) : m.start()]):
             continue
         out.append((m.start(2), {"name": name, "qualifier": qualifier, "arg_count": count, "line": lines.at(m.start(2))}))
     return [c for _, c in sorted(out, key=lambda x: x[0])]
@@ -231,7 +230,7 @@ def parse_by_structure(source: str) -> tuple[str, list[str], list[dict]]:
                     after = text.find(";", close)
                     close = after if 0 <= after < end else close
                 f = re.match(r"\s*((?:(?:%s)\s+)*)([\w.]+(?:\s*<.*?>)?(?:\s*\[\])*)\s+(\w.*)$" % "|".join(sorted(MODIFIERS)), whole, re.S)
-                if f and f[2] not in KEYWORDS:
+                if f and f[2] not in STATEMENTS:
                     for part in split_commas(f[3], "<>()[]{}"):
                         n = re.match(r"(\w+)", part)
                         if n:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..sources.files import parse_change_lines
 from ..sources.graphs import complete_edges
 
 INTERVAL = "3 seconds"
+#: Versions of a graph that stay: the newest, and the one that readers of the one before may still be in.
+KEPT = 2
 
 
 def stream_changes(spark: SparkSession, path: str) -> DataFrame:
@@ -23,40 +27,62 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def current_version(spark: SparkSession, graph: str) -> str:
-    """The version that the pointer at graph/current names."""
-    rows = spark.read.text(f"{graph}/current").collect()
-    return max((r["value"] for r in rows), key=lambda v: int(v.rsplit("-", 1)[-1]))
+def published(spark: SparkSession, graph: str) -> list[tuple[int, str, int]]:
+    """(number, run, batch) of all versions that the pointer at graph/current names, in order; none before the first."""
+    if not _exists(spark, f"{graph}/current"):
+        return []
+    rows = (r["value"].split("\t") for r in spark.read.text(f"{graph}/current").collect())  # a line a version
+    return sorted((int(n), run, int(batch)) for n, run, batch in rows)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def publish(spark: SparkSession, nodes: DataFrame, edges: DataFrame, graph: str, version: str) -> None:
-    """Write a version in a folder of its own, then add it to the pointer; what is being read is never overwritten."""
-    nodes.write.mode("overwrite").parquet(f"{graph}/{version}/nodes")
-    complete_edges(nodes, edges).write.mode("overwrite").parquet(f"{graph}/{version}/edges")
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("append").text(f"{graph}/current")
+def publish(spark: SparkSession, nodes: DataFrame, edges: DataFrame, graph: str, run: str = "", batch: int = -1) -> int:
+    """Write the next version in a folder of its own, then add it to the pointer with the run and batch that made it; what
+    is being read is never overwritten. Versions before the last KEPT are deleted. The number of the new version."""
+    versions = published(spark, graph)
+    n = versions[-1][0] + 1 if versions else 0
+    nodes.write.mode("overwrite").parquet(f"{graph}/v-{n}/nodes")
+    complete_edges(spark.read.parquet(f"{graph}/v-{n}/nodes"), edges).write.mode("overwrite").parquet(f"{graph}/v-{n}/edges")
+    spark.createDataFrame([(f"{n}\t{run}\t{batch}",)], "value string").coalesce(1).write.mode("append").text(f"{graph}/current")
+    for old, _, _ in versions[: 1 - KEPT]:
+        _delete(spark, f"{graph}/v-{old}")
+    return n
 
 
 def read_version(spark: SparkSession, graph: str) -> tuple[DataFrame, DataFrame]:
-    v = current_version(spark, graph)
-    return spark.read.parquet(f"{graph}/{v}/nodes"), spark.read.parquet(f"{graph}/{v}/edges")
+    """(nodes, edges) of the newest version."""
+    n = published(spark, graph)[-1][0]
+    return spark.read.parquet(f"{graph}/v-{n}/nodes"), spark.read.parquet(f"{graph}/v-{n}/edges")
 
 
-def refresh_batch(spark: SparkSession, graph: str, repo: str, read_sources, changes: DataFrame, batch_id: int, mode: str = "fallback") -> bool:
-    """Apply one micro-batch; False for nothing to do or for a batch whose version is published already."""
-    version = f"v-{batch_id + 1}"
-    done = [r["value"] for r in spark.read.text(f"{graph}/current").collect()]
-    if version in done:
+def refresh_batch(spark: SparkSession, graph: str, repo: str, read_sources, changes: DataFrame, batch_id: int, mode: str = "fallback", *, run: str = "", resolve_against: str = "patch") -> bool:
+    """Apply one micro-batch; False for nothing to do or for a batch that this run has published already."""
+    if any((r, b) == (run, batch_id) for _, r, b in published(spark, graph)):
         return False
     sets = changed_file_sets(changes).select(F.lit(repo).alias("repo"), F.col("path").alias("file_path"), "to_index", "to_invalidate")
     if not sets.filter("to_invalidate").limit(1).count():
         return False
     nodes, edges = read_version(spark, graph)
-    publish(spark, *index_incremental(nodes, edges, read_sources(), sets, mode), graph, version)
+    publish(spark, *index_incremental(nodes, edges, read_sources(), sets, mode, resolve_against=resolve_against), graph, run, batch_id)
     return True
 
 
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a streaming query keeps in its checkpoint: a restart has the same one, a new checkpoint another."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()["value"])["id"]
+
+
 def stream_incremental_index(spark: SparkSession, changes_path: str, graph: str, repo: str, read_sources, checkpoint: str, *, mode: str = "fallback", once: bool = False):
-    """A streaming query that applies each micro-batch of the change log to the graph; batches never overlap, and one
-    that is tried again finds its version published and does nothing."""
-    writer = stream_changes(spark, changes_path).writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: refresh_batch(df.sparkSession, graph, repo, read_sources, df, n, mode) and None)
+    """A streaming query that applies each micro-batch of the change log to the graph; batches never overlap. A batch that
+    is tried again finds itself published and does nothing; those of another checkpoint count anew."""
+
+    def apply(df: DataFrame, n: int) -> None:
+        own = df.sparkSession
+        refresh_batch(own, graph, repo, read_sources, df, n, mode, run=run_of(own, checkpoint))
+
+    writer = stream_changes(spark, changes_path).writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=INTERVAL)).start()
