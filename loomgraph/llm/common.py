@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shared import new_path, shared_folder, stage, unstage
 
@@ -75,6 +79,25 @@ def unused(name: str, df: DataFrame) -> str:
     return name
 
 
+def with_scores(docs: DataFrame, text_col: str, score: Callable, fields: list[T.StructField], *, rows: int = 512) -> DataFrame:
+    """docs with the columns `fields` at the end: score() gives a function of texts (null: empty) to their Arrow arrays, once
+    a task; it is called for `rows` texts at a time. Columns of docs with these names are replaced; all others stay,
+    whatever their names, which Spark sees as c0, c1, ... meanwhile."""
+    kept = [f for f in docs.schema.fields if f.name not in {x.name for x in fields}]
+    inner = [f"c{i}" for i in range(len(kept) + len(fields))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = score()
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                b = whole.slice(start, rows)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *found([t or "" for t in b.column(b.num_columns - 1).to_pylist()])], names=inner)
+
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(inner, [*kept, *fields], strict=True)])
+    given = docs.select(*[named(f.name).alias(n) for n, f in zip(inner, kept, strict=False)], named(text_col).cast("string").alias("text"))
+    return given.mapInArrow(run, schema).toDF(*(f.name for f in [*kept, *fields]))
+
+
 def uniform(*cols) -> Column:
     """A number in [0, 1) that depends on the columns' values only, so that reruns agree."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))

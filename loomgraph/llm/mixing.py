@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, small, stage, uniform
+from .common import WORD, named, small, stage, uniform, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -114,7 +114,7 @@ def mix_units(docs: DataFrame, size: Column, *, row_key: Column | None = None, i
     Null ids and null sources are values like any other. Rows that are equal share their fractions among themselves
     first. A document without words gets its copies by its probability alone. Empty tables give no rows.
     """
-    units = docs.select(F.col(source_col).alias("source"), F.col(id_col).alias("id"), size.alias("size"), (F.lit(0).cast("long") if row_key is None else row_key).alias("row_key"))
+    units = docs.select(named(source_col).alias("source"), named(id_col).alias("id"), size.alias("size"), (F.lit(0).cast("long") if row_key is None else row_key).alias("row_key"))
     units = stage(units.groupBy("source", "id", "size", "row_key").agg(F.count("*").alias("n")), "units")
     targets = stage(source_targets(units, weights=weights, share=share, cap=cap), "targets")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(cap), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
@@ -143,17 +143,19 @@ def mix_rows(docs: DataFrame, size: Column, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """The rows of docs as the mix takes them: each as many times as its copies, 0 for those it leaves out.
 
-    Equal rows are one unit, so their copies are made from one of them. Columns stay as they are.
+    Equal rows are one unit, so their copies are made from one of them. Columns stay as they are, whatever their names.
+    Null texts have no words and are taken by their probability alone; an empty table gives no rows.
     """
-    names = docs.columns
-    key = F.xxhash64(*[F.struct(F.col(c)) for c in names])
-    units = mix_units(docs, word_count(F.col(text_col)), row_key=key, **options)
-    total = F.col("n") * F.col("whole") + F.col("full") + F.col("extra")
-    plan = stage(units.select(F.col("row_key").alias("__key"), F.col("n").alias("__n"), total.alias("__total")).filter("__total > 0"), "plan")
-    joined = docs.withColumn("__key", key).join(small(plan), "__key")
-    single = joined.filter("__n = 1").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__total"))))
-    several = joined.filter("__n > 1").groupBy("__key", "__total").agg(F.first(F.struct(*names)).alias("__row")).withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__total"))))
-    return single.select(*names).unionByName(several.select("__row.*"))
+    own, n, total, k, row = (unused(x, docs) for x in ("mix_key", "mix_rows", "mix_total", "mix_copy", "mix_row"))
+    key = F.xxhash64(*[F.struct(named(c)) for c in docs.columns])
+    units = mix_units(docs, word_count(named(text_col)), row_key=key, **options)
+    taken = F.col("n") * F.col("whole") + F.col("full") + F.col("extra")
+    plan = stage(units.select(F.col("row_key").alias(own), F.col("n").alias(n), taken.alias(total)).filter(F.col(total) > 0), "plan")
+    joined = docs.withColumn(own, key).join(small(plan), own)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(total)))
+    single = joined.filter(F.col(n) == 1).withColumn(k, copies)
+    several = joined.filter(F.col(n) > 1).groupBy(own, total).agg(F.first(F.struct(*map(named, docs.columns))).alias(row)).withColumn(k, copies)
+    return single.select(*map(named, docs.columns)).unionByName(several.select(f"{row}.*"))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -18,19 +18,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from .common import named
 
 MARK = "▁"
 #: Words that a worker remembers at a time; when they are full they become the old ones, which are dropped when the next
 #: are full. This changes no result.
 REMEMBERED = 250_000
-#: Of so many words that are worked out, one is also encoded by the library.
-WORD_CHECK_EVERY = 8
 #: Up to so many symbols the agenda is a plain row of scores, searched from the left; above, a heap.
 SHORT = 40
 #: Longer words are worked out anew each time.
 LONGEST = 64
-#: Of so many documents one is also encoded whole by the library, besides some of the words that are worked out.
+#: Of so many documents one is also encoded whole by the library, besides every word that is worked out and every text that
+#: is not made of such words.
 WHOLE_CHECK_EVERY = 64
 
 
@@ -112,7 +112,7 @@ class Pieces:
         return out
 
     def learn(self, words: set[str], kind: int) -> None:
-        """Have all words in known: they are there, are old ones, or are worked out now, some checked by the library."""
+        """Have all words in known: they are there, are old ones, or are worked out now, each of which the library checks."""
         missing = [w for w in words if w not in self.known[kind]]
         if len(self.known[kind]) + len(missing) > REMEMBERED:
             self.old[kind], self.known[kind], missing = self.known[kind], {}, list(words)
@@ -125,10 +125,9 @@ class Pieces:
         for w in fresh:
             ids = self.agenda(MARK + w if kind == 0 else w)
             known[w] = len(ids), ",".join(map(str, ids))
-        some = sorted(fresh)[::WORD_CHECK_EVERY]
-        theirs = self.library.encode(some if kind == 0 else ["\n" + w for w in some], num_threads=1)
+        theirs = self.library.encode(fresh if kind == 0 else ["\n" + w for w in fresh], num_threads=1)
         skip = len(self.library.encode("\n")) if kind else 0
-        for w, ids in zip(some, theirs, strict=True):
+        for w, ids in zip(fresh, theirs, strict=True):
             if known[w][1] != ",".join(map(str, ids[skip:])):
                 raise ValueError(f"the agenda gives {known[w][1]}, the library {ids[skip:]} for {w!r}")
 
@@ -160,6 +159,8 @@ class Pieces:
         if self.splits_lines:
             parts = [x for p in parts for x in re.findall("\n|[^\n]+", p)]
         ids = [i for p in parts for i in self.agenda(p)]
+        if ids != self.library.encode(text, num_threads=1):
+            raise ValueError(f"the agenda and the library differ on a text of {len(text)} characters")
         return len(ids), ",".join(map(str, ids))
 
     def encode_texts(self, texts: list[str]) -> list[tuple[int, str]]:
@@ -202,9 +203,9 @@ def encoded(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col:
     """One row per row of df: its id, n_tokens, ids_sha256 and decoded_sha256, with_ids the ids and decoded text, and the
     columns of df named in keep (none of which may have one of these names).
 
-    Null is the empty text, which has no ids. In every batch one of WORD_CHECK_EVERY of the words that are worked
-    out is checked against the library, and one document of WHOLE_CHECK_EVERY as a whole; a difference stops the job. Texts of any
-    length are encoded whole; rows are independent, so ties and repeated rows change nothing.
+    Null is the empty text, which has no ids. In every batch each word that is worked out is checked against the library,
+    as is each text that is worked out as a whole, and one document of WHOLE_CHECK_EVERY; a difference stops the job. Texts of
+    any length are encoded whole; rows are independent, so ties and repeated rows change nothing.
     """
     name = add_model(df.sparkSession, model_path)
     id_type = df.schema[id_col].dataType.simpleString()
@@ -233,7 +234,7 @@ def encoded(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col:
 
     schema = f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
     schema += "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return df.select(named(id_col).alias("id"), named(text_col).cast("string").alias("text"), *map(named, keep)).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def op9_pieces(spark, sf_dir: str) -> DataFrame:

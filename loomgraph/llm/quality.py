@@ -7,7 +7,7 @@ The expected grade is the sum of these tails; documents are selected by one of t
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 from operator import eq
 from zlib import crc32
@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import crc_mod
+from .common import crc_mod, named, with_scores
 
 #: Rated documents that a model is fitted on, at most, of each grade; the choice is by a hash of the id.
 FIT_ROWS_A_GRADE = 1500
@@ -138,7 +139,7 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, *, train: Column | None = N
     for g in range(n_grades):
         part = ratings.filter((F.col("grade") == g) & (train if train is not None else F.lit(True))).orderBy(F.xxhash64("id"), "id").limit(rows_a_grade)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,32 +156,34 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, *, train: Column | None = N
     return fit_cumulative([(index[i], value[i]) for i in rows], np.array([grades[i] for i in rows]), n_grades=n_grades)
 
 
-def score_quality(docs: DataFrame, model, *, text_col: str = "text", keep_above: int = KEEP_ABOVE) -> DataFrame:
-    """docs with expected_grade (0 to grades - 1) and tail_probability, P(grade > keep_above), at the end.
+def score_quality(docs: DataFrame, model, *, text_col: str = "text", keep_above: int = KEEP_ABOVE, names: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:
+    """docs with two columns at the end, called by names: the expected grade (0 to grades - 1) and P(grade > keep_above).
 
-    Every column of docs stays, but for earlier ones of these two names. Null is the empty text."""
+    Every column of docs stays, but for earlier ones of these two names. Null is the empty text; rows are independent, so
+    ties and repeated rows change nothing; an empty table gives no rows."""
     weights, thresholds = model
-    names = [c for c in docs.columns if c not in ("expected_grade", "tail_probability")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            z = np.array([weights[i] @ v for i, v in map(features, b.column(b.num_columns - 1).to_pylist())], dtype=np.float64)
+    def score() -> Callable:
+        def tails(texts: list[str]) -> list[pa.Array]:
+            z = np.array([weights[i] @ v for i, v in map(features, texts)], dtype=np.float64)
             tail = 1 / (1 + np.exp(-np.clip(z[:, None] - thresholds[None, :], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(tail.sum(axis=1)), pa.array(tail[:, keep_above])], names=[*names, "expected_grade", "tail_probability"])
+            return [pa.array(tail.sum(axis=1)), pa.array(tail[:, keep_above])]
+
+        return tails
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "expected_grade double, tail_probability double"])
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return with_scores(docs, text_col, score, [T.StructField(n, T.DoubleType()) for n in names])
 
 
-def classified(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", all_columns: bool = False) -> DataFrame:
-    """docs' ids (or all columns) with expected_grade and tail_probability, learnt from labels outside the held-out fold."""
+def classified(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", all_columns: bool = False, names: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:
+    """docs' ids (or all columns) with the expected grade and the tail probability, learnt from labels outside the held-out
+    fold."""
     train = crc_mod(F.col("id"), FOLDS) != HELD_OUT
     model = fit_quality(docs, graded(labels, id_col=id_col), train=train, id_col=id_col, text_col=text_col)
     if all_columns:
-        return score_quality(docs, model, text_col=text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    scored = score_quality(rows.select("id", "text"), model)
-    return scored.select(F.col("id").alias(id_col), "expected_grade", "tail_probability")
+        return score_quality(docs, model, text_col=text_col, names=names)
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
+    scored = score_quality(rows.select("id", "text"), model, names=names)
+    return scored.select(F.col("id").alias(id_col), *names)
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:

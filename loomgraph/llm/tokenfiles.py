@@ -29,6 +29,8 @@ BLOCK = 1 << 20
 #: Blocks of a file that one task scans in the first of the two levels of the prefix scan.
 SPAN = 1024
 DOCUMENTS_A_FILE = 4000
+#: The number in the header of a document without an id.
+NO_ID = -(2**63)
 
 
 @lru_cache(maxsize=2)
@@ -47,7 +49,7 @@ def write_token_files(docs: DataFrame, path: str, ranks_path: str, pattern: str,
 
     Each document is a header that names it, its identifiers plus one, and the separator, which is Spark's line
     separator here, so the files come from Spark's own sink and commit protocol. A null text is empty; a null id is
-    written as the largest negative id.
+    written as NO_ID and read back as null.
     """
     docs.sparkSession.sparkContext.addFile(ranks_path)
     name = ranks_path.rsplit("/", 1)[-1]
@@ -65,7 +67,7 @@ def write_token_files(docs: DataFrame, path: str, ranks_path: str, pattern: str,
                 out.append(head.tobytes() + (tokens + np.uint16(1)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    none = F.lit(-(2**63)).cast("long")
+    none = F.lit(NO_ID).cast("long")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), none).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "value binary")
     rows.select(F.col("value").cast("string")).write.option("lineSep", "\0\0").option("maxRecordsPerFile", DOCUMENTS_A_FILE).text(path)
 
@@ -161,7 +163,7 @@ def token_counts(spark, path: str, *, separator: int = SEPARATOR, header: int =
         documents = documents.join(heads, ["path", "start"], "left")
     else:
         documents = documents.withColumn("doc_id", F.lit(None).cast("long"))
-    return documents.select("doc_id", F.element_at(F.split("path", "/"), -1).alias("file"), "start", (F.col("length") - header).alias("n_tokens"), "ended")
+    return documents.select(F.nullif("doc_id", F.lit(NO_ID).cast("long")).alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("file"), "start", (F.col("length") - header).alias("n_tokens"), "ended")
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
