@@ -2,6 +2,10 @@
 
 Quality and toxicity drop what they reject, near-duplicate removal keeps one document of each group, mixing takes the
 documents of each source as often as its share asks, and encoding turns what is left into subword ids.
+
+Null texts are empty ones; null ids and sources are values like any other, but that rows with a null id are in no group of
+near-duplicates. Repeated rows are one group. Further columns stay in all stages but the last, whatever their names. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -11,29 +15,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import mixing, neardup, pieces, quality, toxicity
-from loomgraph.llm.common import stage, table
+from loomgraph.llm.common import named, stage, table, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model, fitted on the ratings of these documents, doesn't take for junk."""
-    scored = quality.classified(docs, table(spark, sf_dir, "labels"), all_columns=True)
-    return scored.filter(F.col("tail_probability") >= quality.KEEP_LEAST).select(*docs.columns)
+    grade, tail = unused("expected_grade", docs), unused("tail_probability", docs)
+    scored = quality.classified(docs, table(spark, sf_dir, "labels"), all_columns=True, names=(grade, tail))
+    return scored.filter(F.col(tail) >= quality.KEEP_LEAST).select(*map(named, docs.columns))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the sentence model, fitted on the labels of these documents, doesn't find toxic."""
-    scored = toxicity.score_toxicity(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
-    return scored.filter(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    score, count, spans = (unused(n, docs) for n in ("toxicity", "offending_count", "offending"))
+    scored = toxicity.score_toxicity(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")), names=(score, count, spans))
+    return scored.filter(F.col(score) < toxicity.THRESHOLD).select(*map(named, docs.columns))
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
-    return neardup.deduplicated(docs).select(*docs.columns)
+    return neardup.deduplicated(docs).select(*map(named, docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of the sources takes it: not at all, once or twice."""
-    return mixing.mixed_documents(docs).select(*docs.columns)
+    return mixing.mixed_documents(docs).select(*map(named, docs.columns))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
