@@ -16,17 +16,20 @@ __all__ = ["new_path", "shared_folder", "stage", "unstage"]
 #: A run of anything but space and the controls U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A side with at most so many rows of a few dozen bytes may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: A side with at most so many rows and about so many bytes may be broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it is counted to have at most `most` rows, else df as it is, so that the join shuffles."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it is counted to have at most `most` rows of `most_bytes` bytes in all (as JSON), else df as
+    it is, so that the join shuffles."""
+    width = F.octet_length(F.to_json(F.struct(*map(named, df.columns))))
+    found = df.select(width.alias("w")).limit(most + 1).agg(F.count("*").alias("n"), F.sum("w").alias("w")).first()
+    return F.broadcast(df) if found["n"] <= most and (found["w"] or 0) <= most_bytes else df
 
 
 def _at(path: str):

@@ -14,14 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, small, stage, unstage
+from .common import named, new_path, small, stage, unstage
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Records of an archive at most, which keeps an archive of common pages within some ten megabytes.
-RECORDS_A_FILE = 1000
+#: Records of an archive at most, and the largest payload among so many; an archive of payloads twice as large, or up to
+#: that, has half as many, and so on, so that none but one of a single record goes beyond their product (64 MB).
+RECORDS_A_FILE, SMALL_BYTES = 1000, 1 << 16
 
 
 def base32(sha1: Column) -> Column:
@@ -87,14 +88,21 @@ def record(rows: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, **options) -> None:
     """Write WARC files under path, one record per page, no page shuffled unless its payload's table of copies is large."""
     rows = single_holders(with_roles(pages, **options))
-    record(rows).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    doublings = lambda size: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1)) / SMALL_BYTES))).cast("int")
+    sizes = pages.select(doublings(F.coalesce(F.octet_length(named(options.get("html_col", "html"))), F.lit(0))).alias("n"))
+    kinds = sorted(r["n"] for r in sizes.distinct().collect()) or [0]  # 15 kinds are 2 GB
+    rows = rows.withColumn("doublings", doublings(F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)))
+    kinds = sorted({0, *kinds}) if len(kinds) > 1 or kinds[0] else kinds  # revisits have no payload
+    for n in kinds:  # mostly one
+        part = rows if len(kinds) == 1 else rows.filter(F.col("doublings") == n)
+        record(part).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", max(1, RECORDS_A_FILE >> n)).text(path)
 
 
 def candidates(spark, path: str) -> DataFrame:
     """(file, a hash of its path, at, next, fields) of every place in the archives where the magic stands and a header can be read.
 
     A file is read whole by one task, so archives have to be below 2 GB, the limit of Spark's binary reader; those
-    written here hold a bounded number of records. at and next are byte offsets; next is null where none can be told.
+    written here hold a bounded number of records and bytes. at and next are byte offsets; next is null where none can be told.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     text = F.decode("content", "ISO-8859-1")  # one character a byte

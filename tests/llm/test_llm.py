@@ -132,6 +132,19 @@ def test_archives(spark):
     assert warc.read_archives(spark, none).count() == 0
 
 
+def test_archives_are_cut_by_bytes(spark, monkeypatch):
+    import glob
+    import os
+
+    monkeypatch.setattr(warc, "SMALL_BYTES", 1 << 10)
+    monkeypatch.setattr(warc, "RECORDS_A_FILE", 16)
+    rows = [(i, "u", f"{i}" + "x" * (200 if i % 3 else 6000)) for i in range(90)]
+    path = new_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    assert max(map(os.path.getsize, glob.glob(f"{path.removeprefix('file://')}/*.txt"))) < 2 * 16 * (1 << 10)
+    assert sorted(r["page_id"] for r in warc.read_archives(spark, path).collect()) == list(range(90))
+
+
 def _vectors(spark, n=400, d=8):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.standard_normal(d)]) for i in range(n)]
