@@ -24,7 +24,7 @@ from .common import named
 MARK = "▁"
 #: Words that a worker remembers at a time; when they are full they become the old ones, which are dropped when the next
 #: are full. This changes no result.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Up to so many symbols the agenda is a plain row of scores, searched from the left; above, a heap.
 SHORT = 40
 #: Longer words are worked out anew each time.
