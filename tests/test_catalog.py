@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 #: Queries whose SQL takes long, or that are covered by others over the same operator.
 SAMPLE = [
     "nodes_by_name_or_qname", "classes_in_package", "class_call_pairs", "call_exists", "graph_stats", "first_wins", "latency_summary", "tokenize", "bm25_search", "query_tool", "query_cli",
+    "sort_names", "explode_calls", "regex_methods", "type_names", "import_edges", "index_nodes", "index_edges", "index_merged_edges", "graph_tables_edges", "graph_json_edges", "graph_document_nodes", "read_change_log", "upsert_repository", "stream_refresh_edges", "resolve_calls",
     "impact_upstream", "impact_downstream", "inheritance_chain", "symbol_context", "context_tool", "resolve_inheritance", "changed_file_sets", "merge_incremental_edges", "import_scope",
 ]
 
