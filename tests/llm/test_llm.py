@@ -186,6 +186,12 @@ def test_nearest_recall(spark):
         hit += r["vec_id"] in np.argsort(-c)[:5]
         assert r["score"] == pytest.approx(c[r["vec_id"]], abs=1e-12)
     assert len(got) == 300 and hit / 300 >= 0.9
+    # Parts that are cut again, two to four at a level.
+    levels = ann.fit_levels(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 3000, sample=1000, leaf_rows=100)
+    assert [len(x) for x in levels][:2] == [1, 4]
+    seen = {(r["query_id"], r["vec_id"]) for r in ann.nearest(df, sample=1000, leaf_rows=100).collect()}
+    exact = {(q, int(v)) for q in range(0, 3000, 50) for v in [i for i in np.argsort(-(u @ u[q])) if i != q][:5]}
+    assert len(seen) == 300 and len(seen & exact) / 300 >= 0.9
     small, real = _vectors(spark, 60)
     assert {r["query_id"] for r in ann.nearest(small).collect()} == {0, 50}
     assert ann.nearest(small.limit(0)).count() == 0
