@@ -23,6 +23,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Records of an archive at most, and the largest payload among so many; an archive of payloads twice as large, or up to
 #: that, has half as many, and so on, so that none but one of a single record goes beyond their product (64 MB).
 RECORDS_A_FILE, SMALL_BYTES = 1000, 1 << 16
+#: Offsets that are summed together.
+OFFSETS_A_BLOCK = 512
 
 
 def base32(sha1: Column) -> Column:
@@ -98,6 +100,23 @@ def write_archives(pages: DataFrame, path: str, **options) -> None:
         record(part).write.mode("append").option("lineSep", END).option("maxRecordsPerFile", max(1, RECORDS_A_FILE >> n)).text(path)
 
 
+def offsets_of(lengths: Column) -> Column:
+    """Where each piece begins, the first at -len(MAGIC), from their lengths. Summed by blocks, so that an array of n
+    offsets isn't copied n times."""
+
+    def sums(parts: Column, begin: Column, add) -> Column:
+        start = F.struct(begin.cast("long").alias("pos"), F.array().cast("array<bigint>").alias("offsets"))
+        return F.aggregate(parts, start, add)
+
+    def block(acc: Column, first: Column) -> Column:
+        one = lambda a, n: F.struct((a["pos"] + n).alias("pos"), F.concat(a["offsets"], F.array(a["pos"])).alias("offsets"))
+        inner = sums(F.slice(lengths, first, F.lit(OFFSETS_A_BLOCK)), acc["pos"], one)
+        merged = lambda r: F.struct(r["pos"].alias("pos"), F.concat(acc["offsets"], r["offsets"]).alias("offsets"))
+        return F.transform(F.array(inner), merged)[0]
+
+    return sums(F.sequence(F.lit(1), F.size(lengths), F.lit(OFFSETS_A_BLOCK)), F.lit(-len(MAGIC)), block)["offsets"]
+
+
 def candidates(spark, path: str) -> DataFrame:
     """(file, a hash of its path, at, next, fields) of every place in the archives where the magic stands and a header can be read.
 
@@ -107,12 +126,10 @@ def candidates(spark, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     text = F.decode("content", "ISO-8859-1")  # one character a byte
     # Pieces between magics; the first lies before any and is empty in an archive that is whole.
-    read = files.select(F.xxhash64("path").alias("file"), F.octet_length("content").alias("total"), F.split(text, r"WARC/1\.0\r\n").alias("pieces"))
+    read = files.select(F.xxhash64("path").alias("file"), F.octet_length("content").alias("total"), "content", F.split(text, r"WARC/1\.0\r\n").alias("pieces"))
     lengths = F.transform("pieces", lambda p: F.length(p) + len(MAGIC))
-    start = F.struct(F.lit(-len(MAGIC)).cast("long").alias("pos"), F.array().cast("array<bigint>").alias("offsets"))
-    offsets = F.aggregate(lengths, start, lambda acc, n: F.struct((acc["pos"] + n).alias("pos"), F.concat(acc["offsets"], F.array(acc["pos"])).alias("offsets")), lambda acc: acc["offsets"])
     header = F.transform("pieces", lambda p: F.substring_index(p, END, 1))
-    read = read.select("file", "total", "pieces", offsets.alias("offsets"), header.alias("headers"))
+    read = read.select("file", "total", "content", F.transform(F.array(lengths), offsets_of)[0].alias("offsets"), header.alias("headers"))
 
     def one(i: Column) -> Column:
         at, head = F.element_at("offsets", i), F.element_at("headers", i)
@@ -121,10 +138,8 @@ def candidates(spark, path: str) -> DataFrame:
         skip = F.length(head) + len(END)
         ends = at + len(MAGIC) + skip + size
         follows = ends + len(END)
-        # A body that holds magics goes on in the pieces after its own, up to the last that begins before its end.
-        after = F.size(F.filter("offsets", lambda o: (o > at) & (o < ends)))
-        whole = F.when(F.get("offsets", i) < ends, F.concat_ws(MAGIC, F.slice("pieces", i, after + 1))).otherwise(F.element_at("pieces", i))
-        sha1 = F.sha1(F.encode(F.substring(whole, skip + 1, size.cast("int")), "ISO-8859-1"))
+        # The body is cut from the bytes, so it may hold magics of its own.
+        sha1 = F.sha1(F.substring(F.col("content"), (ends - size + 1).cast("int"), size.cast("int")))
         return F.struct(
             at.alias("at"), follows.alias("next"), get("WARC-Type").alias("record_type"), get("WARC-Record-ID").alias("record_id"), get("WARC-Refers-To").alias("refers_to"), get("WARC-Target-URI").alias("url"),
             size.alias("size"), get("X-Payload-Length").try_cast("bigint").alias("payload_length"), get("WARC-Payload-Digest").alias("digest"), F.when((size >= 0) & (follows <= F.col("total")), sha1).alias("body_sha1"),
