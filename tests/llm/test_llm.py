@@ -128,10 +128,6 @@ def test_archives(spark):
     digest = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
     kind = [("response", None), ("response", None), ("revisit", 2), ("response", None), ("revisit", 4), ("revisit", 4), ("revisit", 1)]
     assert got == Counter((i, len((h or "").encode()), digest(h), *k) for (i, _, h), k in zip(rows, kind, strict=True))
-    many = [(1, None, warc.MAGIC * 20_000), (2, None, f"x{warc.MAGIC}Content-Length: 5\r\n\r\nhello\r\n\r\n"), (3, None, "end")]
-    warc.write_archives(spark.createDataFrame(many, "page_id long, url string, html string").coalesce(1), magics := new_path(spark, "magics"))
-    sha1 = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
-    assert {(r["page_id"], r["payload_digest"]) for r in warc.read_archives(spark, magics).collect()} == {(i, sha1(h)) for i, _, h in many}
     warc.write_archives(pages.limit(0), none := new_path(spark, "none"))
     assert warc.read_archives(spark, none).count() == 0
 
