@@ -35,10 +35,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete what stage() wrote, once nothing reads it any more."""
-    path = getattr(df, "staged_at", None)
-    if path:
-        spark = df.sparkSession
+def stage_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """stage(), in `buckets` buckets by keys: a join or grouping by these keys doesn't shuffle it again. The rows are
+    written as they are partitioned; a caller whose tasks hold many buckets each repartitions by keys first."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    table = "loomgraph_" + uuid.uuid4().hex
+    df.write.format("parquet").bucketBy(buckets, *keys).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.staged_at, out.staged_as = path, table
+    return out
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete what stage() or stage_bucketed() wrote, once nothing reads it any more."""
+    for df in frames:
+        path, spark = getattr(df, "staged_at", None), df.sparkSession
+        if not path:
+            continue
+        if hasattr(df, "staged_as"):
+            spark.sql(f"drop table if exists {df.staged_as}")
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
