@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import ann, lm, mixing, neardup, pieces, quality, tokenfiles, topk, toxicity, warc
+from . import ann, kmeans, lm, mixing, neardup, pieces, quality, tokenfiles, topk, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_neardup": neardup.op8_neardup,
     "op9_pieces": pieces.op9_pieces,
     "op10_exact_topk": topk.op10_exact_topk,
+    "op13_kmeans": kmeans.op13_kmeans,
 }
 
 ORACLES = {
     "op6_warc": warc.ORACLE,
     "op10_exact_topk": topk.ORACLE,
+    "op13_kmeans": kmeans.ORACLE,
 }
