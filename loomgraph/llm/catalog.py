@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import ann, kmeans, lm, mixing, neardup, pieces, quality, tokenfiles, topk, toxicity, warc
+from . import ann, kmeans, lm, mixing, neardup, pieces, quality, ranked, tokenfiles, topk, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,11 +13,13 @@ QUERIES = {
     "op8_neardup": neardup.op8_neardup,
     "op9_pieces": pieces.op9_pieces,
     "op10_exact_topk": topk.op10_exact_topk,
+    "op11_ranked": ranked.op11_ranked,
     "op13_kmeans": kmeans.op13_kmeans,
 }
 
 ORACLES = {
     "op6_warc": warc.ORACLE,
     "op10_exact_topk": topk.ORACLE,
+    "op11_ranked": ranked.ORACLE,
     "op13_kmeans": kmeans.ORACLE,
 }
