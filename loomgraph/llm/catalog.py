@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import ann, kmeans, lm, mixing, neardup, pieces, quality, ranked, tokenfiles, topk, toxicity, warc
+from . import ann, kmeans, lm, mixing, neardup, pieces, quality, ranked, suffixes, tokenfiles, topk, toxicity, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_pieces": pieces.op9_pieces,
     "op10_exact_topk": topk.op10_exact_topk,
     "op11_ranked": ranked.op11_ranked,
+    "op12_suffix_dedup": suffixes.op12_suffix_dedup,
     "op13_kmeans": kmeans.op13_kmeans,
 }
 
