@@ -239,4 +239,4 @@ query("merge_incremental_edges", f"{MERGED} select id, reason from me")(lambda t
 query("invalidate_files", f"{MERGE} select id from nodes where file_path <> '' and file_path in (select file_path from gone)")(lambda t: M.invalidate_files(t.nodes, t.sql(GONE)).select("id"))
 query("union_graphs", f"{MERGE} select id, ord from nodes union all select id, ord from patch_nodes where id not in (select id from nodes)")(lambda t: M.union_graphs(t.nodes, t.sql(f"with {T.EDGES}, {PATCHES} select * from patch_nodes")).select("id", "ord"))
 
-from . import index_queries, source_queries  # noqa: E402, F401  (they register their queries)
+from . import fluent, index_queries, source_queries  # noqa: E402, F401  (they register their queries)

@@ -1,244 +1,26 @@
-"""Source text to parsed rows: a scanner over one file at a time, run by mapInPandas over all of them.
+"""Source text to parsed rows: a parser of one file at a time, run by mapInPandas over all of them.
 
-Mode "regex" finds types by a pattern and skips types within them; it sees methods that begin a line, have one word for
-their type and no throws clause, and takes the line of the opening brace for a start. Mode "structural" reads tokens and
-so also sees nested types, methods without a body, type arguments and several names in one declaration; it takes the
-line of the declaration for a start.
+Mode "structural" reads declarations (nested types, methods without a body, type arguments, several names in one
+declaration) and every call of an expression; it takes the line where a declaration begins, annotations included. Mode
+"regex" sees less, and other calls: see javapattern. The default takes the first, or the second where brackets don't match.
 """
 
 from __future__ import annotations
 
-import bisect
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .javapattern import parse_by_pattern
+from .javastructure import parse_by_structure
+
 CALL = "struct<name:string,qualifier:string,arg_count:int,line:int>"
 METHOD = f"struct<name:string,parameters:array<string>,return_type:string,modifiers:array<string>,is_constructor:boolean,start_line:int,end_line:int,calls:array<{CALL}>>"
 FIELD = "struct<name:string,type:string,modifiers:array<string>,line:int>"
 TYPE = f"struct<kind:string,name:string,modifiers:array<string>,super_class:string,interfaces:array<string>,start_line:int,end_line:int,fields:array<{FIELD}>,methods:array<{METHOD}>>"
 PARSED = f"repo string, file_path string, package_name string, imports array<string>, types array<{TYPE}>, parser_source string"
 
-#: Words before a parenthesis that the pattern mode takes for no call and no method.
-KEYWORDS = {"if", "for", "while", "switch", "catch", "return", "new", "super", "this", "throw", "try", "synchronized"}
-#: Words that the structural mode takes for none either.
-STATEMENTS = KEYWORDS | {"else", "do", "assert"}
-MODIFIERS = {"public", "protected", "private", "static", "final", "abstract", "synchronized", "native", "strictfp", "transient", "volatile", "default", "sealed"}
-KINDS = {"class": "Class", "interface": "Interface", "enum": "Enum", "@interface": "Annotation", "record": "Class"}
-
-_PACKAGE = re.compile(r"^\s*package\s+([\w.]+)\s*;", re.M)
-_IMPORT = re.compile(r"^\s*import\s+((?:static\s+)?[\w.]+(?:\.\*)?)\s*;", re.M)
-_MODS = r"((?:(?:public|protected|private|static|final|abstract|sealed|strictfp)\s+)*)"
-_TYPE = re.compile(rf"\b{_MODS}(class|interface|enum)\s+(\w+)(?:\s+extends\s+([\w.<>]+))?(?:\s+implements\s+([^{{]+))?\s*\{{")
-#: A method begins a line, has one word for its type or none, no throws clause, and a body. A field's type is one word.
-_METHOD = re.compile(r"^\s*(?:@\w+(?:\([^)]*\))?\s*)*((?:(?:public|protected|private|static|final|abstract|synchronized|native|strictfp)\s+)*)(?:([A-Za-z_][\w<>\[\].?]*)\s+)?([A-Za-z_]\w*)\s*\(([^)]*)\)\s*\{", re.M)
-_FIELD = re.compile(r"\s*((?:(?:public|protected|private|static|final|transient|volatile)\s+)*)([A-Za-z_][\w<>\[\].?]*)\s+([A-Za-z_]\w*)\s*(?:=[^;]+)?;\s*$")
-_CALL = re.compile(r"(?:([\w.]+)\.)?(\b\w+)\s*\(")
-
-
-class Lines:
-    """Line of an offset, from the line starts found once."""
-
-    def __init__(self, text: str):
-        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
-
-    def at(self, offset: int) -> int:
-        return bisect.bisect_right(self.starts, offset)
-
-
-def closing(text: str, opening: int, pair: str = "{}") -> int:
-    """Offset of the bracket that closes the one at opening; the end of the text where none does."""
-    depth = 0
-    for m in re.compile(f"[{re.escape(pair)}]").finditer(text, opening):
-        depth += 1 if m[0] == pair[0] else -1
-        if not depth:
-            return m.start()
-    return len(text)
-
-
-def split_commas(text: str, brackets: str = "<>()[]") -> list[str]:
-    """Parts between commas that no bracket encloses, trimmed; empty ones are left out."""
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(text):
-        at = brackets.find(c) if brackets else -1
-        if at >= 0:
-            depth += 1 if at % 2 == 0 else -1
-        elif c == "," and depth <= 0:
-            out.append(text[start:i])
-            start = i + 1
-    return [p.strip() for p in [*out, text[start:]] if p.strip()]
-
-
-def _words(text: str | None) -> list[str]:
-    return (text or "").split()
-
-
-def argument_count(text: str, opening: int) -> int:
-    """Commas directly within the parentheses, plus one; 0 where nothing stands between them."""
-    end = closing(text, opening, "()")
-    inner, depth, commas = text[opening + 1 : end], 0, 0
-    for c in inner:
-        depth += (c == "(") - (c == ")")
-        commas += c == "," and depth == 0
-    return commas + 1 if inner.strip() else 0
-
-
-def _calls_by_pattern(body: str, first_line: int) -> list[dict]:
-    lines = Lines(body)
-    return [{"name": m[2], "qualifier": m[1], "arg_count": argument_count(body, m.end() - 1), "line": first_line + lines.at(m.start()) - 1} for m in _CALL.finditer(body) if m[2] not in KEYWORDS]
-
-
-def parse_by_pattern(source: str) -> tuple[str, list[str], list[dict]]:
-    lines, types, at = Lines(source), [], 0
-    package = _PACKAGE.search(source)
-    while m := _TYPE.search(source, at):
-        opening = m.end() - 1
-        end = closing(source, opening)
-        body, name = source[opening + 1 : end], m[3]
-        fields = []
-        for i, line in enumerate(body.split("\n")):
-            plain = line.split("//")[0].rstrip()
-            f = _FIELD.match(plain) if "(" not in plain and not plain.lstrip().startswith("@") else None
-            if f:
-                fields.append({"name": f[3], "type": f[2], "modifiers": _words(f[1]), "line": lines.at(opening) + i})
-        methods = []
-        for d in _METHOD.finditer(body):
-            if d[3] in KEYWORDS:
-                continue
-            brace = opening + d.end()
-            stop, first = closing(source, brace), lines.at(brace)
-            methods.append(
-                {"name": d[3], "parameters": split_commas(d[4], ""), "return_type": d[2], "modifiers": _words(d[1]), "is_constructor": d[3] == name,
-                 "start_line": first, "end_line": lines.at(stop), "calls": _calls_by_pattern(source[brace + 1 : stop], first)}
-            )
-        types.append({"kind": KINDS[m[2]], "name": name, "modifiers": _words(m[1]), "super_class": m[4], "interfaces": split_commas(m[5] or "", ""), "start_line": lines.at(opening), "end_line": lines.at(end), "fields": fields, "methods": methods})
-        at = end + 1
-    return package[1] if package else "", [i[1] for i in _IMPORT.finditer(source)], types
-
-
-def blanked(source: str) -> str:
-    """The source with comments and the insides of literals as spaces, so that offsets and lines stay."""
-    pattern = re.compile(r'//[^\n]*|/\*.*?\*/|"""(?:\\.|.)*?"""|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', re.S)
-
-    def blank(m: re.Match) -> str:
-        t = m[0]
-        if t[0] == "/":
-            return re.sub(r"[^\n]", " ", t)
-        return t[0] + re.sub(r"[^\n]", "_", t[1:-1]) + t[-1]
-
-    return pattern.sub(blank, source)
-
-
-def _matches(text: str) -> dict[int, int]:
-    """Closing offset of every curly bracket and parenthesis, in one pass; an unclosed one is a fault of the source."""
-    stack, out = [], {}
-    for m in re.finditer(r"[(){}]", text):
-        if m[0] in "({":
-            stack.append(m.start())
-        elif not stack:
-            raise ValueError("a bracket closes nothing")
-        else:
-            out[stack.pop()] = m.start()
-    if stack:
-        raise ValueError("a bracket is never closed")
-    return out
-
-
-_HEAD = re.compile(r"(@interface|\b(?:class|interface|enum|record))\s+(\w+)\s*([^{;]*)\{")
-_NEW = re.compile(r"\bnew\s+([\w.]+(?:<[^()]*?>)?)\s*\(")
-_ANY_CALL = re.compile(r"(?<![\w.])((?:[\w]+(?:\([^()]*\))?\s*\.\s*)*)(\w+)\s*\(")
-_ANNOTATION = re.compile(r"@\w[\w.]*(?:\s*\([^()]*\))?")
-
-
-def _bare(text: str) -> str:
-    """A written type cleaned by the rule of functions.text.clean_type_name."""
-    return re.sub(r"\?.*$", "", re.sub(r"\[\]$", "", re.sub(r"<[^<>]*>", "", text.strip())), flags=re.S).strip()
-
-
-def _header(rest: str) -> tuple[str | None, list[str]]:
-    """(what is extended, what is implemented) of what stands between a type's name and its body."""
-    plain = re.sub(r"^\s*(<.*?>)?\s*(\([^()]*\))?", "", rest) if rest.lstrip().startswith(("<", "(")) else rest
-    up = re.search(r"\bextends\s+(.*?)(?=\bimplements\b|\bpermits\b|$)", plain, re.S)
-    across = re.search(r"\bimplements\s+(.*?)(?=\bpermits\b|$)", plain, re.S)
-    return up[1].strip() if up else None, [p.strip() for p in across[1].split(",") if p.strip()] if across else []
-
-
-def _structural_calls(text: str, start: int, end: int, lines: Lines, own: str, own_qualified: str, super_class: str | None) -> list[dict]:
-    out = []
-    for m in _NEW.finditer(text, start, end):
-        t = _bare(m[1])
-        out.append((m.start(), {"name": t.split(".")[-1], "qualifier": t, "arg_count": len(split_commas(text[m.end() : closing(text, m.end() - 1, "()")])), "line": lines.at(m.start())}))
-    for m in _ANY_CALL.finditer(text, start, end):
-        name, qualifier = m[2], re.sub(r"\s*\.\s*$", "", m[1]).strip() or None
-        count = len(split_commas(text[m.end() : closing(text, m.end() - 1, "()")]))
-        if name == "this":
-            name, qualifier = own, own_qualified
-        elif name == "super":
-            if not super_class:
-                continue
-            bare = _bare(super_class)
-            name, qualifier = bare.split(".")[-1], bare if "." in bare else None
-        elif name in STATEMENTS or re.search(r"\bnew\s+$", text[max(start, m.start() - 8) : m.start()]):
-            continue
-        out.append((m.start(2), {"name": name, "qualifier": qualifier, "arg_count": count, "line": lines.at(m.start(2))}))
-    return [c for _, c in sorted(out, key=lambda x: x[0])]
-
-
-def parse_by_structure(source: str) -> tuple[str, list[str], list[dict]]:
-    text = blanked(source)
-    closes, lines, types = _matches(text), Lines(source), []
-    package = _PACKAGE.search(text)
-    package = package[1] if package else ""
-    heads = [(m, closes[m.end() - 1]) for m in _HEAD.finditer(text)]
-    spans = [(m.start(), end) for m, end in heads]
-    for m, end in heads:
-        opening, name = m.end() - 1, m[2]
-        before = re.search(r"((?:(?:@\w[\w.]*(?:\([^()]*\))?|[a-z-]+)\s+)*)$", text[max(0, m.start() - 300) : m.start()])
-        modifiers = [w for w in _words(before[1] if before else "") if w in MODIFIERS]
-        up, across = _header(m[3])
-        qualified = f"{package}.{name}" if package else name
-        inner = [s for s in spans if opening < s[0] < end]
-        fields, methods, at = [], [], opening + 1
-        while at < end:
-            skip = next((s for s in inner if s[0] <= at <= s[1]), None)
-            if skip:
-                at = skip[1] + 1
-                continue
-            stop = re.compile(r"[;{]").search(text, at, end)
-            if not stop:
-                break
-            limit = next((s for s in inner if at < s[0] < stop.start() + 1), None)
-            if limit:
-                at = limit[0]
-                continue
-            member = _ANNOTATION.sub(lambda a: " " * len(a[0]), text[at : stop.start()])
-            close = closes[stop.start()] if stop[0] == "{" else stop.start()
-            first = at + len(member) - len(member.lstrip())
-            d = re.match(r"\s*((?:(?:%s)\s+)*)(?:<[^()]*?>\s*)?(?:([\w.<>\[\],? &]+?)\s+)?(\w+)\s*\(" % "|".join(sorted(MODIFIERS)), member)
-            initial = member.find("=")
-            if d and (initial < 0 or d.end() <= initial):
-                opened = at + d.end() - 1
-                parameters = split_commas(_ANNOTATION.sub("", text[opened + 1 : closes[opened]]))
-                is_constructor = d[3] == name and not d[2]
-                calls = _structural_calls(text, stop.start(), close, lines, name, qualified, up) if stop[0] == "{" else []
-                methods.append({"name": d[3], "parameters": parameters, "return_type": None if is_constructor else (d[2] or "void").strip(), "modifiers": _words(d[1]), "is_constructor": is_constructor, "start_line": lines.at(first), "end_line": lines.at(close), "calls": calls})
-            elif member.strip() and member.strip() not in ("static",):
-                whole = member
-                if stop[0] == "{":  # an initializer with braces goes on to its semicolon
-                    after = text.find(";", close)
-                    close = after if 0 <= after < end else close
-                f = re.match(r"\s*((?:(?:%s)\s+)*)([\w.]+(?:\s*<.*?>)?(?:\s*\[\])*)\s+(\w.*)$" % "|".join(sorted(MODIFIERS)), whole, re.S)
-                if f and f[2] not in STATEMENTS:
-                    for part in split_commas(f[3], "<>()[]{}"):
-                        n = re.match(r"(\w+)", part)
-                        if n:
-                            fields.append({"name": n[1], "type": re.sub(r"\s+", "", f[2]) or "Object", "modifiers": _words(f[1]), "line": lines.at(first)})
-            at = close + 1
-        types.append({"kind": KINDS[m[1]], "name": name, "modifiers": modifiers, "super_class": up if m[1] != "interface" else None, "interfaces": across if m[1] != "interface" else [p.strip() for p in (up or "").split(",") if p.strip()], "start_line": lines.at(m.start()), "end_line": lines.at(end), "fields": fields, "methods": methods})
-    return package, [re.sub(r"\s+", " ", i[1]) for i in _IMPORT.finditer(text)], types
-
 
 def parse_file(source: str | None, mode: str = "fallback") -> tuple[str, list[str], list[dict], str]:
     """(package, imports, types, which parser): structural, or the pattern where that fails, or one of the two alone."""
