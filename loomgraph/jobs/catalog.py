@@ -11,6 +11,8 @@ from ..operators import patterns as P
 from ..operators import resolve as R
 from ..operators import search as S
 from ..operators import traversal as V
+from ..shared import new_path
+from ..sources import store
 from . import fixtures as T
 from .registry import ORACLES, QUERIES, query
 
@@ -237,6 +239,19 @@ def _merged(t: T.Tables) -> tuple[DataFrame, DataFrame]:
 query("merge_incremental_nodes", f"{MERGED} select id, ord from mn")(lambda t: _merged(t)[0].select("id", "ord"))
 query("merge_incremental_edges", f"{MERGED} select id, reason from me")(lambda t: _merged(t)[1].select("id", "reason"))
 query("invalidate_files", f"{MERGE} select id from nodes where file_path <> '' and file_path in (select file_path from gone)")(lambda t: M.invalidate_files(t.nodes, t.sql(GONE)).select("id"))
+
+
+def _merged_store(t: T.Tables) -> tuple[DataFrame, DataFrame]:
+    """The same merge into a graph that is stored in buckets, of which only those that it touches are written."""
+    root = new_path(t.spark, "store")
+    at = lambda name: t.sql(f"with {T.EDGES}, {PATCHES} select * from {name}")
+    store.write_graph(t.nodes, t.edges, root)
+    store.merge_graph(t.spark, root, at("patch_nodes"), at("patch_edges"), at("gone"))
+    return store.read_graph(t.spark, root)
+
+
+query("merge_stored_nodes", f"{MERGED} select id, ord from mn")(lambda t: _merged_store(t)[0].select("id", "ord"))
+query("merge_stored_edges", f"{MERGED} select id, reason from me")(lambda t: _merged_store(t)[1].select("id", "reason"))
 query("union_graphs", f"{MERGE} select id, ord from nodes union all select id, ord from patch_nodes where id not in (select id from nodes)")(lambda t: M.union_graphs(t.nodes, t.sql(f"with {T.EDGES}, {PATCHES} select * from patch_nodes")).select("id", "ord"))
 
 from . import fluent, index_queries, source_queries  # noqa: E402, F401  (they register their queries)

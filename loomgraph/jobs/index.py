@@ -56,8 +56,9 @@ def merged_lookups(nodes: DataFrame, gone: DataFrame, methods: DataFrame, types:
     return old.unionByName(methods.select(*old.columns)), found.unionByName(own)
 
 
-def index_incremental(nodes: DataFrame, edges: DataFrame, sources: DataFrame, changes: DataFrame, mode: str = "fallback", *, resolve_against: str = "patch") -> tuple[DataFrame, DataFrame]:
-    """The graph after changes (repo, file_path, to_index, to_invalidate); sources holds the changed files.
+def index_patch(nodes: DataFrame, sources: DataFrame, changes: DataFrame, mode: str = "fallback", *, resolve_against: str = "patch") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, invalidated files) of what changes (repo, file_path, to_index, to_invalidate) put in and take out of a
+    graph with these nodes; sources holds the changed files. The patch is written out, for a merge reads it many times.
 
     resolve_against "patch": as an incremental run does, calls and supertypes of the changed files resolve among those
     files alone. "merged": they resolve against the methods and types of the files that stay as well."""
@@ -67,5 +68,9 @@ def index_incremental(nodes: DataFrame, edges: DataFrame, sources: DataFrame, ch
     invalid = changes.filter("to_invalidate").select("repo", "file_path")
     lookups = (lambda methods, types: merged_lookups(nodes, invalidate_files(nodes, invalid), methods, types)) if resolve_against == "merged" else None
     patch = index_full(asked, mode, lookups)
-    patch_nodes, patch_edges = stage(patch[0], "patch-nodes"), stage(patch[1], "patch-edges")
-    return merge_incremental(nodes, edges, patch_nodes, patch_edges, invalid)
+    return stage(patch[0], "patch-nodes"), stage(patch[1], "patch-edges"), invalid
+
+
+def index_incremental(nodes: DataFrame, edges: DataFrame, sources: DataFrame, changes: DataFrame, mode: str = "fallback", *, resolve_against: str = "patch") -> tuple[DataFrame, DataFrame]:
+    """The graph after changes, as whole tables; see index_patch. A stored graph is changed by sources.store.merge_graph."""
+    return merge_incremental(nodes, edges, *index_patch(nodes, sources, changes, mode, resolve_against=resolve_against))

@@ -16,12 +16,12 @@ def changed_java_paths(paths: DataFrame, column: str = "path") -> DataFrame:
 def changed_file_sets(changes: DataFrame) -> DataFrame:
     """(path, to_index, to_invalidate) of changes (status, path, new_path), Java files only.
 
-    A rename invalidates the old path and does both with the new one; a copy does both with its target; a deletion only
-    invalidates; anything else, and an untracked file (null status), is both."""
+    A rename invalidates the old path and does both with the new one, where it names one; a copy does both with its target;
+    a deletion only invalidates; anything else, and an untracked file (null status), is both."""
     entry = lambda path, index, gone: F.struct(path.alias("path"), F.lit(index).alias("i"), F.lit(gone).alias("v"))
     code = F.substring("status", 1, 1)
     target = F.coalesce("new_path", "path")
-    entries = F.when(code == "R", F.array(entry(F.col("path"), False, True), entry(target, True, True))).when(code == "C", F.array(entry(target, True, True))).when(code == "D", F.array(entry(F.col("path"), False, True))).otherwise(F.array(entry(F.col("path"), True, True)))
+    entries = F.when(code == "R", F.array(entry(F.col("path"), False, True), entry(F.col("new_path"), True, True))).when(code == "C", F.array(entry(target, True, True))).when(code == "D", F.array(entry(F.col("path"), False, True))).otherwise(F.array(entry(F.col("path"), True, True)))
     rows = changes.select(F.explode(entries).alias("e")).select("e.path", "e.i", "e.v")
     return changed_java_paths(rows).groupBy("path").agg(F.bool_or("i").alias("to_index"), F.bool_or("v").alias("to_invalidate"))
 

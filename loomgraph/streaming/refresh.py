@@ -1,73 +1,59 @@
-"""Keeping a graph current from a stream of change-log lines."""
+"""Keeping a stored graph current from a stream of changes."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..jobs.index import index_incremental
+from ..jobs.index import index_patch
 from ..operators.merge import changed_file_sets
-from ..sources.files import parse_change_lines
-from ..sources.graphs import complete_edges
+from ..shared import unstage
+from ..sources import store
+from ..sources.files import parse_change_lines, untracked_changes
 
 INTERVAL = "3 seconds"
-#: Versions of a graph that stay: the newest, and the one that readers of the one before may still be in.
-KEPT = 2
 
 
-def stream_changes(spark: SparkSession, path: str) -> DataFrame:
-    """The change log as a stream of (status, path, new_path); files that appear in path are read as they come."""
-    return parse_change_lines(spark.readStream.text(path))
+def stream_changes(spark: SparkSession, path: str, untracked: str | None = None) -> DataFrame:
+    """The change log as a stream of (status, path, new_path), and the untracked files, whose paths alone stand in another
+    folder, with no status; files that appear in either are read as they come."""
+    lines = parse_change_lines(spark.readStream.text(path))
+    return lines if untracked is None else lines.unionByName(untracked_changes(spark.readStream.text(untracked)))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+def stream_changed_sets(spark: SparkSession, path: str, untracked: str | None, checkpoint: str, use: Callable[[DataFrame, int], None], *, once: bool = False):
+    """A streaming query that hands use() the files to index and to invalidate of each micro-batch that has any: (path,
+    to_index, to_invalidate) and the batch's number. Batches never overlap."""
 
+    def batch(df: DataFrame, n: int) -> None:
+        sets = changed_file_sets(df).persist()
+        try:
+            if sets.limit(1).count():
+                use(sets, n)
+        finally:
+            sets.unpersist()
 
-def published(spark: SparkSession, graph: str) -> list[tuple[int, str, int]]:
-    """(number, run, batch) of all versions that the pointer at graph/current names, in order; none before the first."""
-    if not _exists(spark, f"{graph}/current"):
-        return []
-    rows = (r["value"].split("\t") for r in spark.read.text(f"{graph}/current").collect())  # a line a version
-    return sorted((int(n), run, int(batch)) for n, run, batch in rows)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def publish(spark: SparkSession, nodes: DataFrame, edges: DataFrame, graph: str, run: str = "", batch: int = -1) -> int:
-    """Write the next version in a folder of its own, then add it to the pointer with the run and batch that made it; what
-    is being read is never overwritten. Versions before the last KEPT are deleted. The number of the new version."""
-    versions = published(spark, graph)
-    n = versions[-1][0] + 1 if versions else 0
-    nodes.write.mode("overwrite").parquet(f"{graph}/v-{n}/nodes")
-    complete_edges(spark.read.parquet(f"{graph}/v-{n}/nodes"), edges).write.mode("overwrite").parquet(f"{graph}/v-{n}/edges")
-    spark.createDataFrame([(f"{n}\t{run}\t{batch}",)], "value string").coalesce(1).write.mode("append").text(f"{graph}/current")
-    for old, _, _ in versions[: 1 - KEPT]:
-        _delete(spark, f"{graph}/v-{old}")
-    return n
-
-
-def read_version(spark: SparkSession, graph: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of the newest version."""
-    n = published(spark, graph)[-1][0]
-    return spark.read.parquet(f"{graph}/v-{n}/nodes"), spark.read.parquet(f"{graph}/v-{n}/edges")
+    writer = stream_changes(spark, path, untracked).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=INTERVAL)).start()
 
 
-def refresh_batch(spark: SparkSession, graph: str, repo: str, read_sources, changes: DataFrame, batch_id: int, mode: str = "fallback", *, run: str = "", resolve_against: str = "patch") -> bool:
-    """Apply one micro-batch; False for nothing to do or for a batch that this run has published already."""
-    if any((r, b) == (run, batch_id) for _, r, b in published(spark, graph)):
+def refresh_batch(spark: SparkSession, graph: str, repo: str, read_sources: Callable[[DataFrame], DataFrame], sets: DataFrame, batch_id: int, mode: str = "fallback", *, run: str = "", resolve_against: str = "patch") -> bool:
+    """Apply the changed files (path, to_index, to_invalidate) of one micro-batch to a stored graph: only the buckets that they
+    touch are written. read_sources gets the files to read (repo, file_path) and returns their rows. False for nothing to
+    do, or for a batch that this run has applied already."""
+    if store.applied(spark, graph, run, batch_id):
         return False
-    sets = changed_file_sets(changes).select(F.lit(repo).alias("repo"), F.col("path").alias("file_path"), "to_index", "to_invalidate")
-    if not sets.filter("to_invalidate").limit(1).count():
+    changes = sets.select(F.lit(repo).alias("repo"), F.col("path").alias("file_path"), "to_index", "to_invalidate")
+    if not changes.filter("to_invalidate").limit(1).count():
         return False
-    nodes, edges = read_version(spark, graph)
-    publish(spark, *index_incremental(nodes, edges, read_sources(), sets, mode, resolve_against=resolve_against), graph, run, batch_id)
+    with store.reading(spark, graph) as (nodes, _):
+        asked = read_sources(changes.filter("to_index").select("repo", "file_path"))
+        patch_nodes, patch_edges, invalid = index_patch(nodes, asked, changes, mode, resolve_against=resolve_against)
+        store.merge_graph(spark, graph, patch_nodes, patch_edges, invalid, run=run, batch=batch_id)
+    unstage(patch_nodes, patch_edges)
     return True
 
 
@@ -76,13 +62,12 @@ def run_of(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()["value"])["id"]
 
 
-def stream_incremental_index(spark: SparkSession, changes_path: str, graph: str, repo: str, read_sources, checkpoint: str, *, mode: str = "fallback", once: bool = False):
-    """A streaming query that applies each micro-batch of the change log to the graph; batches never overlap. A batch that
-    is tried again finds itself published and does nothing; those of another checkpoint count anew."""
+def stream_incremental_index(spark: SparkSession, changes_path: str, graph: str, repo: str, read_sources: Callable[[DataFrame], DataFrame], checkpoint: str, *, untracked: str | None = None, mode: str = "fallback", resolve_against: str = "patch", once: bool = False):
+    """A streaming query that applies each micro-batch of the change log to the graph that store.write_graph began. A batch
+    that is tried again finds itself applied and does nothing; those of another checkpoint count anew."""
 
-    def apply(df: DataFrame, n: int) -> None:
-        own = df.sparkSession
-        refresh_batch(own, graph, repo, read_sources, df, n, mode, run=run_of(own, checkpoint))
+    def use(sets: DataFrame, n: int) -> None:
+        own = sets.sparkSession
+        refresh_batch(own, graph, repo, read_sources, sets, n, mode, run=run_of(own, checkpoint), resolve_against=resolve_against)
 
-    writer = stream_changes(spark, changes_path).writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=INTERVAL)).start()
+    return stream_changed_sets(spark, changes_path, untracked, checkpoint, use, once=once)

@@ -1,9 +1,12 @@
 """Paths as they are named, graph documents, and a stream that is restarted."""
 
 import json
+import os
 
 from loomgraph.jobs.index import index_full
-from loomgraph.sources.files import read_sources
+from loomgraph.operators.merge import changed_file_sets
+from loomgraph.sources import store
+from loomgraph.sources.files import parse_change_lines, read_requested, read_sources, untracked_changes
 from loomgraph.sources.graphs import read_graph_document
 from loomgraph.streaming import refresh
 
@@ -30,22 +33,55 @@ def test_graph_document(spark, tmp_path):
 
 
 def test_a_stream_restarts_and_starts_anew(spark, tmp_path):
-    files = lambda name: spark.createDataFrame([("r", "src/A.java", CLASS.format("A", name))], "repo string, file_path string, source string")
-    graph, changes = f"{tmp_path}/graph", tmp_path / "changes"
+    graph, tree, changes = f"{tmp_path}/graph", tmp_path / "tree", tmp_path / "changes"
     changes.mkdir()
-    refresh.publish(spark, *index_full(files("first")), graph)
-    methods = lambda: {r["name"] for r in refresh.read_version(spark, graph)[0].filter("label = 'Method'").collect()}
-    run = lambda name, checkpoint: refresh.stream_incremental_index(spark, str(changes), graph, "r", lambda: files(name), f"{tmp_path}/{checkpoint}", once=True).awaitTermination()
+    (tree / "src").mkdir(parents=True)
+    put = lambda name: (tree / "src/A.java").write_text(CLASS.format("A", name))
+    put("first")
+    store.write_graph(*index_full(read_sources(spark, str(tree), "r")), graph, buckets=4)
+    methods = lambda: {r["name"] for r in store.read_graph(spark, graph)[0].filter("label = 'Method'").collect()}
+    version = lambda: store.manifest(spark, graph)["version"]
+
+    def run(name, checkpoint):
+        put(name)
+        read = lambda asked: read_requested(spark, str(tree), "r", asked)
+        refresh.stream_incremental_index(spark, str(changes), graph, "r", read, f"{tmp_path}/{checkpoint}", once=True).awaitTermination()
+
     (changes / "1.txt").write_text("M\tsrc/A.java\n")
     run("second", "one")
-    assert methods() == {"second"} and len(refresh.published(spark, graph)) == 2
+    assert methods() == {"second"} and version() == 1
     run("unseen", "one")  # nothing new in the log
     assert methods() == {"second"}
     (changes / "2.txt").write_text("M\tsrc/A.java\n")
     run("third", "one")
     assert methods() == {"third"}
     run("fourth", "two")  # another checkpoint begins with batch 0 again, and its changes count
-    assert methods() == {"fourth"} and [n for n, _, _ in refresh.published(spark, graph)] == [0, 1, 2, 3]
-    batch = spark.createDataFrame([("M", "src/A.java", None)], "status string, path string, new_path string")
-    known = refresh.published(spark, graph)[-1]
-    assert not refresh.refresh_batch(spark, graph, "r", lambda: files("again"), batch, known[2], run=known[1])
+    assert methods() == {"fourth"} and version() == 3
+    sets = spark.createDataFrame([("src/A.java", True, True)], "path string, to_index boolean, to_invalidate boolean")
+    known = store.manifest(spark, graph)["applied"]
+    assert len(known) == 2
+    for own, batch in known.items():
+        assert not refresh.refresh_batch(spark, graph, "r", lambda asked: 1 / 0, sets, batch, run=own)
+
+
+def test_only_requested_files_are_opened(spark, tmp_path):
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / "a/b/One.java").write_text("one")
+    (tmp_path / "a/Ü %+.java").write_text("ü")
+    (tmp_path / "a/Dir.java").mkdir()
+    os.mkfifo(tmp_path / "a/Blocks.java")  # whoever opens this one waits for ever
+    asked = ["a/b/One.java", "./a//b/../b/One.java", f"{tmp_path}/a/Ü %+.java", "a/Missing.java", "a/Dir.java", "a/b/One.txt", "a/b/One.java/x.java"]
+    wanted = spark.createDataFrame([("r", p) for p in asked] + [("other", "a/Blocks.java"), ("r", None)], "repo string, file_path string")
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        got = read_requested(spark, root, "r", wanted)
+        assert sorted((r["repo"], r["file_path"], r["source"]) for r in got.collect()) == [("r", "a/b/One.java", "one"), ("r", "a/Ü %+.java", "ü")]
+    assert read_requested(spark, str(tmp_path), "r", wanted.limit(0)).count() == 0
+
+
+def test_change_lines(spark):
+    lines = spark.createDataFrame([("M\t\ta b.java",), ("\tR100\told.java\t",), ("R100\told2.java\tnew.java\r",), ("D",), ("",), (" \t",), ("C75\tx.java",), ("A\tY.JAVA",), ("A\ty.txt",)], "value string")
+    rows = parse_change_lines(lines)
+    assert sorted((r["status"], r["path"], r["new_path"]) for r in rows.collect()) == [("A", "Y.JAVA", None), ("A", "y.txt", None), ("C75", "x.java", None), ("M", "a b.java", None), ("R100", "old.java", None), ("R100", "old2.java", "new.java")]
+    more = rows.unionByName(untracked_changes(spark.createDataFrame([(" u.java ",), ("",), ("u.md",)], "value string")))
+    got = {r["path"]: (r["to_index"], r["to_invalidate"]) for r in changed_file_sets(more).collect()}
+    assert got == {"a b.java": (True, True), "old.java": (False, True), "old2.java": (False, True), "new.java": (True, True), "x.java": (True, True), "Y.JAVA": (True, True), "u.java": (True, True)}
