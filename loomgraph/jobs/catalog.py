@@ -10,8 +10,9 @@ from ..operators import merge as M
 from ..operators import patterns as P
 from ..operators import resolve as R
 from ..operators import search as S
+from ..operators import search_index as SI
 from ..operators import traversal as V
-from ..shared import new_path
+from ..shared import new_path, stage
 from ..sources import store
 from . import fixtures as T
 from .registry import ORACLES, QUERIES, query
@@ -250,6 +251,24 @@ def _merged_store(t: T.Tables) -> tuple[DataFrame, DataFrame]:
     return store.read_graph(t.spark, root)
 
 
+#: The nodes after the merge, whole, in place of those before it.
+HITS_AFTER = HITS.replace(N, f"""{MERGE}, after as materialized (select * from nodes where not (file_path <> '' and file_path in (select file_path from gone)) union all select * from patch_nodes)""").replace("from nodes where label", "from after where label").replace("join nodes d", "join after d")
+
+
+def _indexed(t: T.Tables, updates: bool) -> DataFrame:
+    """Questions to a stored index, which follows the merge by a segment for each kind of node where updates is set."""
+    root = new_path(t.spark, "search")
+    SI.search_index(t.nodes, root)
+    if updates:
+        at = lambda name: t.sql(f"with {T.EDGES}, {PATCHES} select * from {name}")
+        removed, added = (stage(df, "changed") for df in M.node_changes(t.nodes, at("patch_nodes"), at("gone")))
+        for kind in ("label = 'Class'", "label <> 'Class'"):
+            SI.update_search_index(t.spark, root, removed.filter(kind), added.filter(kind))
+    return SI.bm25_indexed(t.spark, root, t.sql(SEARCHES)).select("query_id", "rank", "id", "name", "score")
+
+
+query("bm25_indexed", f"{HITS} select query_id, rank, id, name, score from hits")(lambda t: _indexed(t, False))
+query("bm25_indexed_merged", f"{HITS_AFTER} select query_id, rank, id, name, score from hits")(lambda t: _indexed(t, True))
 query("merge_stored_nodes", f"{MERGED} select id, ord from mn")(lambda t: _merged_store(t)[0].select("id", "ord"))
 query("merge_stored_edges", f"{MERGED} select id, reason from me")(lambda t: _merged_store(t)[1].select("id", "reason"))
 query("union_graphs", f"{MERGE} select id, ord from nodes union all select id, ord from patch_nodes where id not in (select id from nodes)")(lambda t: M.union_graphs(t.nodes, t.sql(f"with {T.EDGES}, {PATCHES} select * from patch_nodes")).select("id", "ord"))

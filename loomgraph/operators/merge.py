@@ -31,6 +31,13 @@ def invalidate_files(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     return nodes.filter("file_path <> ''").join(paths.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_semi").select("repo", "id")
 
 
+def node_changes(base_nodes: DataFrame, patch_nodes: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes that a merge takes out of the base, nodes of the patch that it puts in), whole rows."""
+    gone = base_nodes.join(invalidate_files(base_nodes, paths), ["repo", "id"], "left_semi")
+    stays = base_nodes.select("repo", "id").join(patch_nodes.select("repo", "id"), ["repo", "id"], "left_semi").join(gone.select("repo", "id"), ["repo", "id"], "left_anti")
+    return gone, patch_nodes.join(stays, ["repo", "id"], "left_anti")
+
+
 def union_graphs(base: DataFrame, patch: DataFrame) -> DataFrame:
     """The rows of both, the base's where an id is in both."""
     both = base.withColumn("generation", F.lit(0)).unionByName(patch.withColumn("generation", F.lit(1)))

@@ -70,6 +70,10 @@ class _Folder:
         self.fs.delete(self._path(path), True)
 
 
+def folder_of(spark: SparkSession, root: str) -> _Folder:
+    return _Folder(spark, root)
+
+
 def bucket_of(buckets: int) -> Column:
     """The bucket of a node."""
     own = F.coalesce(F.col("file_path"), F.lit("")) == ""
