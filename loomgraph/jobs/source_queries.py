@@ -138,18 +138,20 @@ query("graph_json_nodes", f"{Q.FULL} {QUALIFIED}")(lambda t: json_lines(t)[0].se
 query("graph_json_edges", f"{Q.FULL} select * from j_edges")(lambda t: json_lines(t)[1].select(*Q.EDGE_COLUMNS))
 
 
-def documents(t: T.Tables) -> tuple[DataFrame, DataFrame]:
+def documents(t: T.Tables, ranges: int = 0) -> tuple[DataFrame, DataFrame]:
     """A document for each supplier, as other tools store one for each repository: its class, and an edge to its package."""
     path = new_path(t.spark, "graph-documents")
     rows = t.sql(f"""with {T.SUP} select path, array(named_struct('id', 'class:' || pkg || '.' || cls, 'label', 'Class', 'properties', named_struct('name', cls, 'qualifiedName', pkg || '.' || cls, 'filePath', path, 'startLine', 5)),
         named_struct('id', 'class:' || pkg || '.' || cls, 'label', 'Enum', 'properties', named_struct('name', 'later', 'qualifiedName', '', 'filePath', '', 'startLine', 0))) as nodes,
         array(named_struct('id', 'e' || cast(sk as string), 'sourceId', 'package:' || pkg, 'targetId', 'class:' || pkg || '.' || cls, 'type', 'CONTAINS', 'reason', 'r')) as relationships from sup""")
     rows.repartition(8).select(F.to_json(F.struct("nodes", "relationships")).alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
-    return G.read_graph_document(t.spark, path, "tpch")
+    return G.read_big_graph_document(t.spark, path, "tpch", range_bytes=ranges) if ranges else G.read_graph_document(t.spark, path, "tpch")
 
 
 query("graph_document_nodes", f"with {T.SUP} select 'class:' || pkg || '.' || cls as id, 'Class' as label, cls as name, path as file_path, 5 as start_line from sup")(lambda t: documents(t)[0].select(*Q.NODE_COLUMNS))
 query("graph_document_edges", f"with {T.SUP} select 'e' || cast(sk as string) as id, 'package:' || pkg as source_id, 'class:' || pkg || '.' || cls as target_id, 'CONTAINS' as type, 'r' as reason, 1.0::double as confidence from sup")(lambda t: documents(t)[1].select(*Q.EDGE_COLUMNS))
+query("graph_ranges_nodes", f"with {T.SUP} select 'class:' || pkg || '.' || cls as id, 'Class' as label, cls as name, path as file_path, 5 as start_line from sup")(lambda t: documents(t, 100)[0].select(*Q.NODE_COLUMNS))
+query("graph_ranges_edges", f"with {T.SUP} select 'e' || cast(sk as string) as id, 'package:' || pkg as source_id, 'class:' || pkg || '.' || cls as target_id, 'CONTAINS' as type, 'r' as reason, 1.0::double as confidence from sup")(lambda t: documents(t, 100)[1].select(*Q.EDGE_COLUMNS))
 
 
 def stream_refreshed(t: T.Tables, against: str = "patch") -> tuple[DataFrame, DataFrame]:

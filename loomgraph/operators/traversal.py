@@ -2,41 +2,81 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import stage, unstage
+from ..shared import stage, stage_bucketed, unstage
 from .patterns import match_edges
 
 DEFAULT_DEPTH = 3
+#: Edges of a node that lie together.
+HUB_EDGES = 100_000
+
+
+class Adjacency:
+    """The edges of a graph by the node that a traversal leaves, written once in buckets of it, for any number of traversals.
+
+    steps: (repo, at, part, id, kind, step). A hub, a node with more than hub_edges edges, has them in several parts, and
+    hubs (repo, at, parts) says in how many; so no bucket holds more than hub_edges of one node."""
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, direction: str = "upstream", *, hub_edges: int = HUB_EDGES):
+        if direction not in ("upstream", "downstream"):
+            raise ValueError(f"direction is 'upstream' or 'downstream', not {direction!r}")
+        ends = nodes.select("repo", F.col("id").alias("end"))
+        whole = edges.join(ends.withColumnRenamed("end", "source_id"), ["repo", "source_id"], "left_semi").join(ends.withColumnRenamed("end", "target_id"), ["repo", "target_id"], "left_semi")
+        here, there = ("target_id", "source_id") if direction == "upstream" else ("source_id", "target_id")
+        listed = whole.select("repo", F.col(here).alias("at"), F.col(there).alias("id"), F.col("type").alias("kind"), F.col("ord").alias("step"), F.xxhash64("id").alias("edge"))
+        degree = edges.groupBy("repo", F.col(here).alias("at")).agg(F.count("*").alias("n"))
+        self.direction = direction
+        self.hubs = stage(degree.filter(F.col("n") > hub_edges).select("repo", "at", F.ceil(F.col("n") / hub_edges).cast("int").alias("parts")), "hubs")
+        part = F.pmod("edge", F.coalesce("parts", F.lit(1)))
+        steps = listed.join(self.hubs, ["repo", "at"], "left").select("repo", "at", part.cast("int").alias("part"), "id", "kind", "step")
+        buckets = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.steps = stage_bucketed(steps.repartition(buckets, "repo", "at", "part"), "steps", ["repo", "at", "part"], buckets)
 
+    def leave(self, frontier: DataFrame) -> DataFrame:
+        """frontier (.., repo, at) with the edges out of it: only the frontier is shuffled, once for each part of a hub."""
+        parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+        return frontier.join(self.hubs, ["repo", "at"], "left").select(*frontier.columns, parts).join(self.steps, ["repo", "at", "part"])
 
-def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, *, direction: str = "upstream", max_depth: int = DEFAULT_DEPTH) -> DataFrame:
+    def close(self) -> None:
+        unstage(self.steps, self.hubs)
+
+
+def impact(nodes: DataFrame, edges: DataFrame, targets: DataFrame, *, direction: str = "upstream", max_depth: int = DEFAULT_DEPTH, adjacency: Adjacency | None = None) -> DataFrame:
     """(query_id, repo, id, name, label, depth, via) for targets (query_id, target): all that reaches, or is reached
     from, any node named target, along every kind of edge.
 
     Each node is found once, at its least depth, by the edge that a breadth-first queue would have followed first:
     path_key holds the start's ord and those of the edges since, and the least key wins. Starts are never found.
-    Edges without both ends are ignored. A level is a join and a grouping; it stops early on an empty frontier.
+    Edges without both ends are ignored. A level is a join and a grouping; it stops early on an empty frontier. Levels are
+    kept in buckets, so what was found before is not shuffled again. An adjacency of these nodes and edges may be given
+    where several calls share it; it says the direction.
     """
-    ends = nodes.select("repo", F.col("id").alias("end"))
-    whole = edges.join(ends.withColumnRenamed("end", "source_id"), ["repo", "source_id"], "left_semi").join(ends.withColumnRenamed("end", "target_id"), ["repo", "target_id"], "left_semi")
-    here, there = ("target_id", "source_id") if direction == "upstream" else ("source_id", "target_id")
-    steps = stage(whole.select("repo", F.col(here).alias("at"), F.col(there).alias("id"), F.col("type").alias("kind"), F.col("ord").alias("step")), "steps")
+    own = adjacency is None
+    around = Adjacency(nodes, edges, direction) if own else adjacency
+    key, buckets = ["query_id", "repo", "id"], int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     starts = targets.join(nodes.select("repo", "id", F.col("name").alias("target"), "ord"), "target")
-    frontier = stage(starts.select("query_id", "repo", "id", F.array(F.struct("ord")).alias("path_key")), "level0")
-    visited, found = frontier.select("query_id", "repo", "id"), None
+    start_keys = starts.groupBy(*key).agg(F.min(F.array(F.struct("ord"))).alias("path_key"))
+    levels = [stage_bucketed(start_keys, "level0", key, buckets)]
     for depth in range(1, max_depth + 1):
-        reached = frontier.withColumnRenamed("id", "at").join(steps, ["repo", "at"])
-        reached = reached.select("query_id", "repo", "id", "kind", F.concat("path_key", F.array(F.struct(F.col("step").alias("ord")))).alias("path_key"))
-        new = reached.join(visited, ["query_id", "repo", "id"], "left_anti").groupBy("query_id", "repo", "id").agg(F.min_by("kind", "path_key").alias("via"), F.min("path_key").alias("path_key"))
-        frontier = stage(new, f"level{depth}")
-        level = frontier.select("query_id", "repo", "id", "via", F.lit(depth).alias("depth"))
-        found = level if found is None else found.unionByName(level)
-        visited = visited.unionByName(frontier.select("query_id", "repo", "id"))
-        if not frontier.limit(1).count():
+        reached = around.leave(levels[-1].withColumnRenamed("id", "at"))
+        reached = reached.select(*key, "kind", F.concat("path_key", F.array(F.struct(F.col("step").alias("ord")))).alias("path_key"))
+        new = reached.groupBy(*key).agg(F.min_by("kind", "path_key").alias("via"), F.min("path_key").alias("path_key"))
+        for level in levels:
+            new = new.join(level.select(*key), key, "left_anti")
+        levels.append(stage_bucketed(new, f"level{depth}", key, buckets))
+        if not levels[-1].limit(1).count():
             break
-    return found.join(nodes.select("repo", "id", "name", "label"), ["repo", "id"]).select("query_id", "repo", "id", "name", "label", "depth", "via")
+    found = [level.select(*key, "via", F.lit(depth).alias("depth")) for depth, level in enumerate(levels) if depth]
+    named = reduce(DataFrame.unionByName, found).join(nodes.select("repo", "id", "name", "label"), ["repo", "id"])
+    out = stage(named.select("query_id", "repo", "id", "name", "label", "depth", "via"), "impact")
+    unstage(*levels)
+    if own:
+        around.close()
+    return out
 
 
 def impact_target(nodes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -70,15 +110,18 @@ def inheritance_chain(nodes: DataFrame, edges: DataFrame, classes: DataFrame) ->
     first = nodes.filter("label = 'Class'").groupBy("name").agg(F.min_by(F.struct("repo", "id"), "ord").alias("c"))
     frontier = stage(classes.join(first, "name").select("query_id", "c.repo", "c.id"), "classes")
     steps = stage(match_edges(nodes, edges, kind="EXTENDS").select("repo", F.col("source_id").alias("at"), F.col("target_id").alias("id")), "extends")
-    visited, found = frontier, None
+    visited, found, staged = frontier, None, [frontier, steps]
     while True:
         new = frontier.withColumnRenamed("id", "at").join(steps, ["repo", "at"]).select("query_id", "repo", "id").distinct().join(visited, ["query_id", "repo", "id"], "left_anti")
         frontier = stage(new, "supertypes")
+        staged.append(frontier)
         if found is not None and not frontier.limit(1).count():
             break
         found = frontier if found is None else found.unionByName(frontier)
         visited = visited.unionByName(frontier)
-    return found.join(nodes.select("repo", "id", "name"), ["repo", "id"]).select("query_id", "id", "name")
+    out = stage(found.join(nodes.select("repo", "id", "name"), ["repo", "id"]).select("query_id", "id", "name"), "chain")
+    unstage(*staged)
+    return out
 
 
 def symbol_context(nodes: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:

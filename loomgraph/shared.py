@@ -37,7 +37,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def stage_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
     """stage(), in `buckets` buckets by keys: a join or grouping by these keys doesn't shuffle it again. The rows are
-    written as they are partitioned; a caller whose tasks hold many buckets each repartitions by keys first."""
+    written as they are partitioned; a caller whose tasks hold many buckets each repartitions by keys first.
+
+    A side that Spark has partitioned by the same keys for itself is not shuffled again either where there are as many
+    buckets as spark.sql.shuffle.partitions."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     table = "loomgraph_" + uuid.uuid4().hex
     df.write.format("parquet").bucketBy(buckets, *keys).option("path", path).saveAsTable(table)

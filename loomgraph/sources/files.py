@@ -49,7 +49,7 @@ def read_sources_subset(sources: DataFrame, requested: DataFrame) -> DataFrame:
     return sources.join(requested_files(requested), ["repo", "file_path"], "left_semi")
 
 
-def _store(path: str):
+def open_store(path: str):
     """The file system that a qualified path lies in, by pyarrow, and the path there."""
     from pyarrow import fs
 
@@ -58,7 +58,7 @@ def _store(path: str):
     return fs.FileSystem.from_uri(quote(path, safe=":/@"))
 
 
-def _qualified(spark: SparkSession, root: str) -> str:
+def qualified(spark: SparkSession, root: str) -> str:
     at = spark._jvm.org.apache.hadoop.fs.Path(root)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
@@ -67,14 +67,14 @@ def read_requested(spark: SparkSession, root: str, repo: str, requested: DataFra
     """(repo, file_path, source) of the files of `repo` below root that are asked for (repo, file_path): each once, Java files
     only, missing ones left out. Tasks open just those files; what else lies below root is neither listed nor read, but
     where the store is one that only Spark can open."""
-    wanted, at = requested_files(requested.filter(F.col("repo") == repo), root), _qualified(spark, root)
+    wanted, at = requested_files(requested.filter(F.col("repo") == repo), root), qualified(spark, root)
     try:
-        _store(at)
+        open_store(at)
     except Exception:  # an unknown scheme, or no library for it
         return read_sources(spark, root, repo).join(wanted, ["repo", "file_path"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = _store(at)
+        files, base = open_store(at)
         for b in batches:
             for path in b.column(1).to_pylist():
                 if not files.get_file_info(f"{base}/{path}").is_file:
@@ -89,10 +89,10 @@ def read_requested(spark: SparkSession, root: str, repo: str, requested: DataFra
 def write_sources(sources: DataFrame, root: str) -> int:
     """Write each source as the file below root that its path names; the number of files. Parts of the path that lead out of
     root are an error. A task that is tried again writes the same files again."""
-    at = _qualified(sources.sparkSession, root)
+    at = qualified(sources.sparkSession, root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = _store(at)
+        files, base = open_store(at)
         for b in batches:
             for path, source in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if ".." in path.split("/"):

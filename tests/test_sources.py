@@ -3,11 +3,13 @@
 import json
 import os
 
+import pytest
+
 from loomgraph.jobs.index import index_full
 from loomgraph.operators.merge import changed_file_sets
 from loomgraph.sources import store
 from loomgraph.sources.files import parse_change_lines, read_requested, read_sources, untracked_changes
-from loomgraph.sources.graphs import read_graph_document
+from loomgraph.sources.graphs import read_big_graph_document, read_graph_document
 from loomgraph.streaming import refresh
 
 CLASS = "package p;\npublic class {0} {{\n    public void {1}() {{\n    }}\n}}\n"
@@ -32,6 +34,21 @@ def test_graph_document(spark, tmp_path):
     assert sorted((r["id"], r["source_id"], r["confidence"], r["reason"], r["line"]) for r in found.collect()) == [("e", "a", 0.5, "r", 4), ("f", "a", 1.0, "", None)]
 
 
+@pytest.mark.parametrize("size", [1, 7, 64, 1000, 1 << 20])
+def test_a_big_document_is_read_by_ranges(spark, tmp_path, size):
+    node = lambda i: {"id": f"n{i % 40}", "label": 'C"l{a]ss\\' * (i % 3), "properties": {"name": f"{i}" + "\\" * (i % 5) + '"{[', "filePath": "ü{" * (i % 4), "modifiers": ["a]", "b}"], "startLine": i}}
+    edge = lambda i: {"id": f"e{i}", "sourceId": f"n{i}", "targetId": "x", "type": "CALLS", "line": i}
+    n = 12 if size < 64 else 60
+    whole = {"nodes": [node(i) for i in range(n)], "other": {"nodes": [{"id": "no"}], "x": '"nodes": ['}, "version": "nodes", "list": [{"id": "neither"}], "relationships": [edge(i) for i in range(n)], "last": [[{"id": "deep"}]]}
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/one.json").write_text(json.dumps(whole, indent=1, ensure_ascii=False))
+    (tmp_path / "a/two.json").write_text(json.dumps({"relationships": [], "nodes": [node(99), {}], "tail": "\\\\"}))
+    (tmp_path / "a/none.json").write_text("{}")
+    key = lambda rows: sorted(map(repr, rows))
+    for got, want in zip(read_big_graph_document(spark, f"{tmp_path}/a", "r", range_bytes=size), read_graph_document(spark, f"{tmp_path}/a", "r"), strict=True):
+        assert got.columns == want.columns and key(got.collect()) == key(want.collect())
+
+
 def test_a_stream_restarts_and_starts_anew(spark, tmp_path):
     graph, tree, changes = f"{tmp_path}/graph", tmp_path / "tree", tmp_path / "changes"
     changes.mkdir()
