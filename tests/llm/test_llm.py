@@ -130,6 +130,38 @@ def test_archives(spark):
     assert got == Counter((i, len((h or "").encode()), digest(h), *k) for (i, _, h), k in zip(rows, kind, strict=True))
     warc.write_archives(pages.limit(0), none := new_path(spark, "none"))
     assert warc.read_archives(spark, none).count() == 0
+    headers = [r["value"].split("\r\n\r\n")[0].split("\r\n")[1:] for r in warc.record(warc.with_roles(pages)).collect()]
+    fields = [dict(line.split(": ", 1) for line in h) for h in headers]
+    assert all({"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= f.keys() for f in fields)
+    ids = {f["WARC-Record-ID"]: f for f in fields}
+    assert len(ids) == len(rows)
+    for f in fields:
+        if f["WARC-Type"] == "revisit":
+            held = ids[f["WARC-Refers-To"]]
+            assert (held["WARC-Type"], held["WARC-Payload-Digest"], held.get("X-Page-ID")) == ("response", f["WARC-Payload-Digest"], f.get("X-Refers-To-Page-ID"))
+
+
+@pytest.mark.parametrize("ranged", [True, False])
+def test_archives_by_ranges(spark, monkeypatch, ranged):
+    import time
+
+    monkeypatch.setattr(warc, "RANGE_BYTES", 3000)
+    monkeypatch.setattr(warc, "MORE_BYTES", 700)
+    if not ranged:
+        monkeypatch.setattr(warc, "reads_ranges", lambda files: False)
+    rng = np.random.default_rng(8)
+    trap = "WARC/1.0\r\nContent-Length: {}\r\n\r\n"
+    rows = [(i, "u" * int(rng.integers(0, 900)), "".join(trap.format(int(rng.integers(0, 3000))) + "x" * int(rng.integers(0, 900)) for _ in range(int(rng.integers(0, 6))))) for i in range(60)]
+    path = new_path(spark, "warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), path, least_bytes=1 << 30)
+    got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in warc.read_archives(spark, path).collect())
+    assert got == [(i, len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, _, h in rows]
+    monkeypatch.undo()
+    many = "WARC/1.0\r\n" * 100_000
+    warc.write_archives(spark.createDataFrame([(1, "u", many), (2, "v", "x")], "page_id long, url string, html string").coalesce(1), path := new_path(spark, "warc"))
+    start = time.time()
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in warc.read_archives(spark, path).collect()) == [(1, len(many)), (2, 1)]
+    assert time.time() - start < 120
 
 
 def test_archives_are_cut_by_bytes(spark, monkeypatch):
