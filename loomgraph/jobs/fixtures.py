@@ -134,9 +134,9 @@ changes as (
 
 class Tables:
     """The derived tables over one directory of source tables, as DataFrames. Nodes and edges are written once for a
-    session and directory, in the shared folder, and read from there by every query."""
+    session and state of the directory, in the shared folder, and read from there by every query."""
 
-    _staged: ClassVar[dict[tuple[str, str, str], DataFrame]] = {}
+    _staged: ClassVar[dict[tuple, DataFrame]] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -146,8 +146,13 @@ class Tables:
     def get(self, parts: str, name: str) -> DataFrame:
         return self.spark.sql(f"with {parts} select * from {name}")
 
+    def _changed(self) -> tuple[int, ...]:
+        """When each table was last written."""
+        at = [self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{t}.parquet") for t in TABLES]
+        return tuple(p.getFileSystem(self.spark._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime() for p in at)
+
     def staged(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self._changed(), name)
         if key not in self._staged:
             self._staged[key] = stage(make(), name)
         return self._staged[key]

@@ -13,7 +13,7 @@ from ..operators.merge import invalidate_files, merge_incremental
 from ..operators.patterns import first_wins
 from ..operators.resolve import call_edges, import_scope, resolve_calls, resolve_inheritance
 from ..schemas import EDGES, NODES
-from ..shared import stage
+from ..shared import scope, stage
 from ..sources.javaparse import parse_sources
 
 
@@ -67,8 +67,9 @@ def index_patch(nodes: DataFrame, sources: DataFrame, changes: DataFrame, mode:
     asked = sources.join(changes.filter("to_index").select("repo", "file_path").distinct(), ["repo", "file_path"], "left_semi")
     invalid = changes.filter("to_invalidate").select("repo", "file_path")
     lookups = (lambda methods, types: merged_lookups(nodes, invalidate_files(nodes, invalid), methods, types)) if resolve_against == "merged" else None
-    patch = index_full(asked, mode, lookups)
-    return stage(patch[0], "patch-nodes"), stage(patch[1], "patch-edges"), invalid
+    with scope() as keep:
+        patch = index_full(asked, mode, lookups)
+        return keep(stage(patch[0], "patch-nodes")), keep(stage(patch[1], "patch-edges")), invalid
 
 
 def index_incremental(nodes: DataFrame, edges: DataFrame, sources: DataFrame, changes: DataFrame, mode: str = "fallback", *, resolve_against: str = "patch") -> tuple[DataFrame, DataFrame]:

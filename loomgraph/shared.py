@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +29,45 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/loomgraph-{uuid.uuid4().hex}/{name}"
 
 
+_scopes: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scopes", default=())
+
+
+def _staged(out: DataFrame, path: str, table: str | None = None) -> DataFrame:
+    out.staged_at = path
+    if table:
+        out.staged_as = table
+    if _scopes.get():
+        _scopes.get()[-1].append(out)
+    return out
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within it, what is staged is deleted at its end, but for frames that are passed through the function it gives: with
+    scope() as keep: return keep(stage(..)). Kept frames belong to the scope around it, if there is one."""
+    mine: list[DataFrame] = []
+    kept: set[int] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(id(df))
+        return df
+
+    around = _scopes.get()
+    token = _scopes.set((*around, mine))
+    try:
+        yield keep
+    finally:
+        _scopes.reset(token)
+        unstage(*(df for df in mine if id(df) not in kept))
+        if around:
+            around[-1].extend(df for df in mine if id(df) in kept)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: it cuts the lineage, and outlives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
+    return _staged(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
 def stage_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
@@ -44,9 +79,7 @@ def stage_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> D
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     table = "loomgraph_" + uuid.uuid4().hex
     df.write.format("parquet").bucketBy(buckets, *keys).option("path", path).saveAsTable(table)
-    out = spark.table(table)
-    out.staged_at, out.staged_as = path, table
-    return out
+    return _staged(spark.table(table), path, table)
 
 
 def unstage(*frames: DataFrame) -> None:
@@ -57,5 +90,5 @@ def unstage(*frames: DataFrame) -> None:
             continue
         if hasattr(df, "staged_as"):
             spark.sql(f"drop table if exists {df.staged_as}")
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()  # the folder that new_path made for it
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = [
     "nodes_by_name_or_qname", "classes_in_package", "class_call_pairs", "call_exists", "graph_stats", "first_wins", "latency_summary", "tokenize", "bm25_search", "query_tool", "query_cli",
     "sort_names", "explode_calls", "regex_methods", "type_names", "import_edges", "index_nodes", "index_edges", "index_merged_edges", "graph_tables_edges", "graph_json_edges", "graph_document_nodes", "read_change_log", "upsert_repository", "stream_refresh_edges", "resolve_calls",
+    "fluent_structural_calls", "fluent_regex_calls", "fluent_fields", "fluent_call_edges", "read_sources", "read_requested", "changed_sets_of_log", "stream_changed_sets", "bm25_indexed", "merge_stored_edges", "graph_ranges_nodes",
     "impact_upstream", "impact_downstream", "inheritance_chain", "symbol_context", "context_tool", "resolve_inheritance", "changed_file_sets", "merge_incremental_edges", "import_scope",
 ]
 
