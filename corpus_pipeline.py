@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import mixing, neardup, pieces, quality, toxicity
-from loomgraph.llm.common import named, stage, table, unused
+from loomgraph.llm.common import named, scope, stage, table, unstage, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; what a stage has read goes when it is done, but for what the last one reads."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        with scope() as keep:
+            kept = keep(stage(step(spark, docs, sf_dir), name))
+        unstage(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

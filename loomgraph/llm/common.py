@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shared import new_path, shared_folder, stage, stage_bucketed, unstage
+from ..shared import new_path, scope, shared_folder, stage, stage_bucketed, unstage
 
-__all__ = ["new_path", "shared_folder", "stage", "stage_bucketed", "unstage"]
+__all__ = ["new_path", "scope", "shared_folder", "stage", "stage_bucketed", "unstage"]
 
 #: A run of anything but space and the controls U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, named, small, stage, uniform, unused
+from .common import WORD, named, scope, small, stage, uniform, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -148,9 +148,10 @@ def mixed_documents(docs: DataFrame, *, text_col: str = "text", **options) -> Da
     """
     own, n, total, k, row = (unused(x, docs) for x in ("mix_key", "mix_rows", "mix_total", "mix_copy", "mix_row"))
     key = F.xxhash64(*[F.struct(named(c)) for c in docs.columns])
-    units = mix_units(docs, word_count(named(text_col)), row_key=key, **options)
     taken = F.col("n") * F.col("whole") + F.col("full") + F.col("extra")
-    plan = stage(units.select(F.col("row_key").alias(own), F.col("n").alias(n), taken.alias(total)).filter(F.col(total) > 0), "plan")
+    with scope() as keep:
+        units = mix_units(docs, word_count(named(text_col)), row_key=key, **options)
+        plan = keep(stage(units.select(F.col("row_key").alias(own), F.col("n").alias(n), taken.alias(total)).filter(F.col(total) > 0), "plan"))
     joined = docs.withColumn(own, key).join(small(plan), own)
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(total)))
     single = joined.filter(F.col(n) == 1).withColumn(k, copies)
@@ -161,5 +162,6 @@ def mixed_documents(docs: DataFrame, *, text_col: str = "text", **options) -> Da
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents mixed with the weights 5, 2, 1 to 150 % of all words, at most twice each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = mix_rows(docs, word_count(F.col("text")))
-    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
+    with scope() as keep:
+        rows = mix_rows(docs, word_count(F.col("text")))
+        return keep(stage(rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies"), "mix"))

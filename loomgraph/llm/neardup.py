@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import named, small, stage, unstage, unused
+from .common import named, scope, small, stage, unstage, unused
 
 WORDS = 5
 #: Bands of registers: a pair of similarity 0.8 shares no band with probability (1 - 0.8^4)^24 < 4e-6.
@@ -390,9 +390,10 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """docs with one row of each group of near-duplicates: the one with the smallest id, whatever other columns there are.
 
     Rows with a null id stay. Of several rows with the id that stays the least by all columns does."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
     other, row = unused("id", docs), unused("row", docs)
-    dropped = stage(found.filter("id <> class_id").select(F.col("id").alias(other)).distinct(), "dropped")
+    with scope() as keep:
+        found = near_duplicates(docs, id_col=id_col, text_col=text_col)
+        dropped = keep(stage(found.filter("id <> class_id").select(F.col("id").alias(other)).distinct(), "dropped"))
     kept = docs.join(small(dropped), named(id_col) == named(other), "left_anti")
     again = stage(kept.filter(named(id_col).isNotNull()).groupBy(named(id_col).alias(other)).count().filter("count > 1").select(named(other)), "again")
     if not again.limit(1).count():
@@ -404,5 +405,6 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def op8_neardup(spark, sf_dir: str) -> DataFrame:
     """Every document with the smallest id of its group of near-duplicates, and whether it is the one that stays."""
-    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("stays"))
+    with scope() as keep:
+        found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+        return keep(stage(found.select(F.col("id").alias("doc_id"), "class_id", F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("stays")), "groups"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_BYTES, stage, table, unstage
+from .common import BROADCAST_BYTES, scope, stage, table
 
 #: The fixed formula: thousandths of a weight, the scale of a score, thousandths of tf's part, per cent of length's part.
 WEIGHT_SCALE, SCORE_SCALE, TF_SCALE, M_SCALE, LENGTH_PERCENT = 1000, 1_000_000_000, 1000, 8, 75
@@ -178,6 +178,11 @@ def ranked(docs: DataFrame, queries: DataFrame, *, k: int = BEST, doc_col: str =
     documents or queries of their own. Equal scores go by ascending doc_id, null last, then by the order in which the table
     is read. Empty tables give no rows; further columns are ignored. A score beyond 64 bits is not provided for.
     """
+    with scope() as keep:
+        return keep(_ranked(docs, queries, k, doc_col, text_col, item_col, query_col))
+
+
+def _ranked(docs: DataFrame, queries: DataFrame, k: int, doc_col: str, text_col: str, item_col: str, query_col: str) -> DataFrame:
     asked = stage(query_terms(queries, item_col, query_col), "asked")
     distinct = asked.select("term").distinct()
     # Numbers of terms: by partition and place, so that no window needs all terms in one task.
@@ -209,9 +214,7 @@ def ranked(docs: DataFrame, queries: DataFrame, *, k: int = BEST, doc_col: str =
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "at"))
     best = hits.withColumn("rank", rank).filter(F.col("rank") <= k)
     items = asked.select("query", "item_id").distinct()
-    out = stage(best.join(items, "query").select("item_id", "rank", "doc_id", "score"), "ranked")
-    unstage(asked, index, lists)
-    return out
+    return stage(best.join(items, "query").select("item_id", "rank", "doc_id", "score"), "ranked")
 
 
 def op11_ranked(spark, sf_dir: str) -> DataFrame:
