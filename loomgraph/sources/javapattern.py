@@ -70,7 +70,7 @@ class _Text:
 
     def touches(self, i: int) -> bool:
         """Whether no space stands between this piece and the one before."""
-        return i > 0 and self.start[i] == self.start[i - 1] + len(self.text[i - 1])
+        return 0 < i < len(self.text) and self.start[i] == self.start[i - 1] + len(self.text[i - 1])
 
     def chunk(self, i: int, marks: set[str]) -> int:
         """The piece after the run, without spaces, of words and these marks that begins at i."""

@@ -1,5 +1,6 @@
 """The two parse modes on sources of known shape, and on hostile ones."""
 
+import random
 import time
 
 import pytest
@@ -146,3 +147,14 @@ def test_time_is_linear(name, mode):
     start = time.process_time()
     parse_file(HOSTILE[name], mode)
     assert time.process_time() - start < 6  # some 1 MB each; an expression that goes back takes hours
+
+
+PIECES = "class interface enum record @ interface static final public default sealed non - A b c void int new this super extends implements { } ( ) [ ] < > , ; . :: -> = \" ' \"\"\" // /* */ \\ 1 1.5 import package case return if \n ? & <A,B> foo( {} () @A(1) throws".split(" ")
+
+
+def test_any_text_gives_a_result():
+    rng = random.Random(4)
+    for _ in range(4000):
+        text = " ".join(rng.choice(PIECES) for _ in range(rng.randint(0, 50)))
+        assert parse_file(text)[3] in ("tree-sitter", "regex-fallback")
+        assert parse_file(text, "regex")[3] == "regex-fallback"
