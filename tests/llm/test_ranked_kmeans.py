@@ -87,7 +87,8 @@ def by_hand(vectors, k, rounds, scale=1024, seed=3):
                 if own:
                     centers[c] = [sum(x) // len(own) for x in zip(*own, strict=True)]
     d = [far(v, centers[a]) for (_, v), a in zip(rows, at, strict=True)]
-    return [(i, a, x, sum(y for y, b in zip(d, at, strict=True) if a == b), sum(d), hashlib.sha256(",".join(map(str, centers[a])).encode()).hexdigest()) for (i, _), a, x in zip(rows, at, d, strict=True)]
+    cut = lambda v: min(v, 2**63 - 1)
+    return [(i, a, cut(x), cut(sum(y for y, b in zip(d, at, strict=True) if a == b)), cut(sum(d)), hashlib.sha256(",".join(map(str, centers[a])).encode()).hexdigest()) for (i, _), a, x in zip(rows, at, d, strict=True)]
 
 
 def rows_of(df):
