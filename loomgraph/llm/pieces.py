@@ -3,7 +3,8 @@
 A text becomes a row of symbols, first its characters. Every adjacent pair whose concatenation is a piece stands on an
 agenda ordered by score, ties from the left; the best is merged and its new neighbours join the agenda, until none is
 left. Characters that are no piece fall back to their bytes. No piece of the usual models holds a word mark inside, so
-the words of a text never merge with each other and each distinct word is worked out once per worker.
+the words of a text never merge with each other and each distinct word is worked out once per worker. Short words of one
+length whose characters are pieces are worked out together: in each turn every one of them merges its best pair.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
@@ -27,6 +31,8 @@ MARK = "▁"
 REMEMBERED = 120_000
 #: Up to so many symbols the agenda is a plain row of scores, searched from the left; above, a heap.
 SHORT = 40
+#: Words of one length that are worked out together.
+TOGETHER = 4096
 #: Longer words are worked out anew each time.
 LONGEST = 64
 #: Of so many documents one is also encoded whole by the library, besides every word that is worked out and every text that
@@ -51,8 +57,84 @@ class Pieces:
         self.scores = {p: self.library.get_score(i) for p, i in self.ids.items()}
         self.splits_words = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.splits_lines = self.splits_words and not any("\n" in p and len(p) > 1 for p in self.ids)
-        self.known: list[dict[str, tuple[int, str]]] = [{}, {}]  # words that begin with a mark or not -> number of ids, ids
-        self.old: list[dict[str, tuple[int, str]]] = [{}, {}]
+        self._pairs()
+        self.known: list[dict[str, str]] = [{}, {}]  # words that begin with a mark or not -> ids, joined by commas
+        self.old: list[dict[str, str]] = [{}, {}]
+
+    def _pairs(self) -> None:
+        """Of all pairs of pieces that make a piece: first * size + second, sorted, the places of their scores among all
+        scores, and the pieces that they make; and of each character the piece that it is, or -1."""
+        self.size = self.library.get_piece_size()
+        place = {s: n for n, s in enumerate(sorted(set(self.scores.values())))}
+        found = sorted((a * self.size + b, place[self.scores[p]], i) for p, i in self.ids.items() for k in range(1, len(p)) if (a := self.ids.get(p[:k])) is not None and (b := self.ids.get(p[k:])) is not None)
+        self.keys, self.places, self.makes = (np.array([x[j] for x in found] + [end], dtype=np.int64) for j, end in enumerate((np.iinfo(np.int64).max, -1, -1)))
+        self.character = np.full(sys.maxunicode + 1, -1, dtype=np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.character[ord(p)] = i
+        self.texts_of_ids = pa.array(map(str, range(self.size)), pa.string())
+
+    def _at(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Where each pair is among the pairs of pieces; the last one, which makes nothing, where it is not."""
+        key = first * self.size + second
+        at = np.searchsorted(self.keys, key)
+        at[self.keys.take(at) != key] = len(self.keys) - 1
+        return at
+
+    def agendas(self, symbols: np.ndarray) -> np.ndarray:
+        """The agendas of many texts of one length at a time, whose characters are all pieces: (texts, length), the pieces
+        that stand there at first -> those that are left, -1 behind them. In each turn every text merges its best pair."""
+        rows, out = np.arange(len(symbols)), np.full(symbols.shape, -1, dtype=np.int64)
+        pairs = self._at(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()).reshape(len(symbols), -1)
+        while len(rows) and pairs.shape[1]:
+            scores = self.places.take(pairs)
+            best = scores.argmax(axis=1)
+            each = np.arange(len(rows))
+            over = scores[each, best] < 0
+            if over.any():
+                out[rows[over], : symbols.shape[1]] = symbols[over]
+                left = np.flatnonzero(~over)
+                rows, symbols, pairs, best, each = rows[left], symbols[left], pairs[left], best[left], each[: len(left)]
+            # All behind the pair moves up by one place.
+            n = symbols.shape[1]
+            merged = self.makes.take(pairs[each, best])
+            symbols = symbols.ravel().take((each * n)[:, None] + np.arange(n - 1) + (np.arange(n - 1) > best[:, None]))
+            symbols[each, best] = merged
+            pairs = pairs.ravel().take((each * (n - 1))[:, None] + np.arange(n - 2) + (np.arange(n - 2) >= best[:, None]))
+            for side in (0, 1):  # the new pairs with what stands behind it, and before it
+                own = np.flatnonzero(best < n - 2) if side == 0 else np.flatnonzero(best > 0)
+                at = best[own] - side
+                pairs[own, at] = self._at(symbols[own, at], symbols[own, at + 1])
+        out[rows, : symbols.shape[1]] = symbols
+        return out
+
+    def worked_out(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in which spaces are marks already, end to end, and how many each has."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        begins = np.cumsum(lengths) - lengths
+        symbols = self.character.take(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)).astype(np.int64)
+        alone = np.zeros(len(words), dtype=bool)
+        alone[np.repeat(np.arange(len(words)), lengths)[symbols < 0]] = True
+        alone |= (lengths > SHORT) | (lengths == 0)
+        counts, parts, order = np.zeros(len(words), dtype=np.int64), [], []
+        for n in np.unique(lengths[~alone]).tolist():
+            same = np.flatnonzero((lengths == n) & ~alone)
+            for start in range(0, len(same), TOGETHER):
+                part = same[start : start + TOGETHER]
+                found = self.agendas(symbols.take(begins[part][:, None] + np.arange(n)))
+                counts[part] = (found >= 0).sum(axis=1)
+                parts.append(found[found >= 0])
+                order.append(part)
+        for i in np.flatnonzero(alone).tolist():
+            parts.append(np.array(self.agenda(words[i]), dtype=np.int64))
+            order.append(np.array([i]))
+            counts[i] = len(parts[-1])
+        # From the order by length to that of the words.
+        order = np.concatenate([*order, np.zeros(0, np.int64)])
+        ends, to = np.cumsum(counts), counts[order]
+        out = np.empty(counts.sum(), dtype=np.int64)
+        out[np.repeat(ends[order] - np.cumsum(to), to) + np.arange(len(out))] = np.concatenate([*parts, np.zeros(0, np.int64)])
+        return out, counts
 
     def agenda(self, text: str) -> list[int]:
         """Ids of a text in which spaces are marks already."""
@@ -122,14 +204,15 @@ class Pieces:
                 fresh.append(w)
             else:
                 known[w] = x
-        for w in fresh:
-            ids = self.agenda(MARK + w if kind == 0 else w)
-            known[w] = len(ids), ",".join(map(str, ids))
+        ids, counts = self.worked_out([MARK + w for w in fresh] if kind == 0 else fresh)
         theirs = self.library.encode(fresh if kind == 0 else ["\n" + w for w in fresh], num_threads=1)
         skip = len(self.library.encode("\n")) if kind else 0
-        for w, ids in zip(fresh, theirs, strict=True):
-            if known[w][1] != ",".join(map(str, ids[skip:])):
-                raise ValueError(f"the agenda gives {known[w][1]}, the library {ids[skip:]} for {w!r}")
+        their_counts = np.fromiter(map(len, theirs), dtype=np.int64, count=len(theirs)) - skip
+        their_ids = np.fromiter((i for t in theirs for i in t[skip:]) if skip else chain.from_iterable(theirs), dtype=np.int64, count=their_counts.sum())
+        if not np.array_equal(counts, their_counts) or not np.array_equal(ids, their_ids):
+            raise ValueError(next(f"the agenda and the library differ on {w!r}" for w, n, e, t in zip(fresh, counts, np.cumsum(counts), theirs, strict=True) if ids[e - n : e].tolist() != t[skip:]))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), self.texts_of_ids.take(pa.array(ids)))
+        known.update(zip(fresh, pc.binary_join(lists, ",").to_pylist(), strict=True))
 
     def plan(self, text: str) -> list[tuple[int, list[str]]] | None:
         """[(kind, words)] of a text that is made of single-spaced words, line by line; None where it has to be read as
@@ -177,12 +260,8 @@ class Pieces:
             if p is None:
                 out.append(self.whole(t))
                 continue
-            n, ids = 0, []
-            for kind, words in p:
-                found = list(map(self.known[kind].__getitem__, words))
-                n += sum(x[0] for x in found)
-                ids.extend(x[1] for x in found)
-            out.append((n, ",".join(ids)))
+            ids = ",".join([x for kind, words in p for x in map(self.known[kind].__getitem__, words)])
+            out.append((ids.count(",") + 1, ids))
         return out
 
 

@@ -78,6 +78,23 @@ def test_long_and_short_agendas_agree():
         assert p.merged(list(text)) == p.merged_short(list(text))
 
 
+def test_agendas_together_are_those_of_each_word(monkeypatch):
+    """Words of all lengths, worked out together, have the ids that each has alone: those with characters that are no piece, too."""
+    monkeypatch.setattr(pieces, "TOGETHER", 7)
+    with open(MODEL, "rb") as f:
+        p = pieces.Pieces(f.read())
+    rng = np.random.default_rng(8)
+    words = ["▁" * (i % 2) + "".join(rng.choice(list("aeinorstthlé日\t🙂\u0378"), 1 + i % 50, p=[0.065] * 15 + [0.025])) for i in range(400)]
+    words += ["▁", "\n", "", "aaaaaaaa", "▁international", "\U0010ffff"]
+    ids, counts = p.worked_out(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [p.agenda(w) for w in words]
+    assert [len(x) for x in p.worked_out([])] == [0, 0]
+    p.encode_texts(["some words", "more\nwords"])
+    monkeypatch.setattr(p, "worked_out", lambda w, f=p.worked_out: (f(w)[0] + 1, f(w)[1]))
+    with pytest.raises(ValueError, match="unmet"):
+        p.encode_texts(["words unmet"])
+
+
 def test_token_files(spark, odd, empty):
     import tiktoken
 
