@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import build as B
-from ..operators.merge import invalidate_files, merge_incremental
+from ..operators.merge import invalidate_files, merged_edges, merged_nodes
 from ..operators.patterns import first_wins
 from ..operators.resolve import call_edges, import_scope, resolve_calls, resolve_inheritance
 from ..schemas import EDGES, NODES
-from ..shared import scope, stage
+from ..shared import scope, shuffled, stage
 from ..sources.javaparse import parse_sources
 
 
@@ -48,7 +48,7 @@ def index_full(sources: DataFrame, mode: str = "fallback", lookups: Callable[[Da
 
 def merged_lookups(nodes: DataFrame, gone: DataFrame, methods: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(methods, types) that a patch is resolved against besides its own: those of the nodes whose files stay."""
-    left = nodes.join(gone, ["repo", "id"], "left_anti")
+    left = shuffled(nodes).join(gone, ["repo", "id"], "left_anti")
     owner = F.regexp_replace("qualified_name", r"\.[^.(]*\(.*$", "")
     old = left.filter("label in ('Method', 'Constructor')").select("repo", "id", "name", "class_name", F.concat(F.lit("class:"), owner).alias("type_id"), "file_path", "package_name", F.concat(owner, F.lit("."), "name").alias("qualified_name"), F.size("parameters").alias("parameter_count"), "ord")
     found = left.filter("label in ('Class', 'Interface', 'Enum', 'Annotation') and file_path <> ''").select("repo", "id", "name", F.struct(F.col("ord.file_path").alias("file_path"), F.col("ord.seq").alias("seq")).alias("ord"))
@@ -64,7 +64,7 @@ def index_patch(nodes: DataFrame, sources: DataFrame, changes: DataFrame, mode:
     files alone. "merged": they resolve against the methods and types of the files that stay as well."""
     if resolve_against not in ("patch", "merged"):
         raise ValueError(f"resolve_against is 'patch' or 'merged', not {resolve_against!r}")
-    asked = sources.join(changes.filter("to_index").select("repo", "file_path").distinct(), ["repo", "file_path"], "left_semi")
+    asked = shuffled(sources).join(changes.filter("to_index").select("repo", "file_path").distinct(), ["repo", "file_path"], "left_semi")
     invalid = changes.filter("to_invalidate").select("repo", "file_path")
     lookups = (lambda methods, types: merged_lookups(nodes, invalidate_files(nodes, invalid), methods, types)) if resolve_against == "merged" else None
     with scope() as keep:
@@ -74,4 +74,7 @@ def index_patch(nodes: DataFrame, sources: DataFrame, changes: DataFrame, mode:
 
 def index_incremental(nodes: DataFrame, edges: DataFrame, sources: DataFrame, changes: DataFrame, mode: str = "fallback", *, resolve_against: str = "patch") -> tuple[DataFrame, DataFrame]:
     """The graph after changes, as whole tables; see index_patch. A stored graph is changed by sources.store.merge_graph."""
-    return merge_incremental(nodes, edges, *index_patch(nodes, sources, changes, mode, resolve_against=resolve_against))
+    patch_nodes, patch_edges, invalid = index_patch(nodes, sources, changes, mode, resolve_against=resolve_against)
+    after = merged_nodes(nodes, patch_nodes, invalid)
+    ids = stage(after.select("repo", "id"), "ids")  # else the plan of the edges holds that of the nodes four times
+    return after, merged_edges(nodes, edges, patch_edges, invalid, ids)

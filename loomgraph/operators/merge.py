@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import shuffled
 from .patterns import first_wins
 
 
@@ -28,7 +29,7 @@ def changed_file_sets(changes: DataFrame) -> DataFrame:
 
 def invalidate_files(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """(repo, id) of nodes of the given files (repo, file_path); nodes without a file are never among them."""
-    return nodes.filter("file_path <> ''").join(paths.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_semi").select("repo", "id")
+    return shuffled(nodes.filter("file_path <> ''")).join(paths.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_semi").select("repo", "id")
 
 
 def node_changes(base_nodes: DataFrame, patch_nodes: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,13 +45,22 @@ def union_graphs(base: DataFrame, patch: DataFrame) -> DataFrame:
     return first_wins(both, ["repo", "id"], F.struct("generation", "ord")).drop("generation")
 
 
+def merged_nodes(base_nodes: DataFrame, patch_nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """The nodes after the files in paths (repo, file_path) have been invalidated and the patch put in."""
+    return union_graphs(shuffled(base_nodes).join(invalidate_files(base_nodes, paths), ["repo", "id"], "left_anti"), patch_nodes)
+
+
+def merged_edges(base_nodes: DataFrame, base_edges: DataFrame, patch_edges: DataFrame, paths: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges of the merge whose nodes have these ids (repo, id)."""
+    end = lambda side: ids.select("repo", F.col("id").alias(side))
+    whole = lambda e: shuffled(shuffled(e).join(end("source_id"), ["repo", "source_id"], "left_semi")).join(end("target_id"), ["repo", "target_id"], "left_semi").select(*e.columns)
+    left = shuffled(base_edges).join(invalidate_files(base_nodes, paths).withColumnRenamed("id", "source_id"), ["repo", "source_id"], "left_anti").select(*base_edges.columns)
+    return union_graphs(whole(left), whole(patch_edges))
+
+
 def merge_incremental(base_nodes: DataFrame, base_edges: DataFrame, patch_nodes: DataFrame, patch_edges: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) after the files in paths (repo, file_path) have been invalidated and the patch put in.
 
     Base edges go with their source; an edge into a node that comes back stays. Edges need both ends in the result."""
-    gone = invalidate_files(base_nodes, paths)
-    nodes = union_graphs(base_nodes.join(gone, ["repo", "id"], "left_anti"), patch_nodes)
-    ends = nodes.select("repo", F.col("id").alias("end"))
-    whole = lambda e: e.join(ends.withColumnRenamed("end", "source_id"), ["repo", "source_id"], "left_semi").join(ends.withColumnRenamed("end", "target_id"), ["repo", "target_id"], "left_semi").select(*e.columns)
-    left = base_edges.join(gone.withColumnRenamed("id", "source_id"), ["repo", "source_id"], "left_anti").select(*base_edges.columns)
-    return nodes, union_graphs(whole(left), whole(patch_edges))
+    nodes = merged_nodes(base_nodes, patch_nodes, paths)
+    return nodes, merged_edges(base_nodes, base_edges, patch_edges, paths, nodes.select("repo", "id"))

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.text import from_payload, payload_json
 from ..operators.patterns import first_wins
 from ..schemas import EDGES, PROPERTIES
-from ..shared import stage
+from ..shared import no_shuffles_left, shuffled, stage
 from . import bigjson
 from .files import open_store, qualified
 
@@ -38,7 +38,7 @@ def with_defaults(edges: DataFrame) -> DataFrame:
 def complete_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes."""
     ends = nodes.select("repo", F.col("id").alias("end"))
-    return edges.join(ends.withColumnRenamed("end", "source_id"), ["repo", "source_id"], "left_semi").join(ends.withColumnRenamed("end", "target_id"), ["repo", "target_id"], "left_semi").select(*edges.columns)
+    return shuffled(shuffled(edges).join(ends.withColumnRenamed("end", "source_id"), ["repo", "source_id"], "left_semi")).join(ends.withColumnRenamed("end", "target_id"), ["repo", "target_id"], "left_semi").select(*edges.columns)
 
 
 def _sized(rows: DataFrame, groups: list[str], most: int) -> DataFrame:
@@ -56,7 +56,8 @@ def write_graph_tables(nodes: DataFrame, edges: DataFrame, path: str, *, rows_a_
     """Replace the graph at path: symbols by repo and label, complete edges by repo and type. A partition has about one file
     for each rows_a_file rows."""
     for rows, groups, name in ((symbol_rows(nodes), ["repo", "label"], "symbols"), (complete_edges(nodes, edges), ["repo", "type"], "relations")):
-        _sized(rows, groups, rows_a_file).write.mode("overwrite").partitionBy(*groups).parquet(f"{path}/{name}")
+        with no_shuffles_left(rows.sparkSession):
+            _sized(rows, groups, rows_a_file).write.mode("overwrite").partitionBy(*groups).parquet(f"{path}/{name}")
 
 
 def read_graph_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
