@@ -53,7 +53,7 @@ def merged_lookups(nodes: DataFrame, gone: DataFrame, methods: DataFrame, types:
     old = left.filter("label in ('Method', 'Constructor')").select("repo", "id", "name", "class_name", F.concat(F.lit("class:"), owner).alias("type_id"), "file_path", "package_name", F.concat(owner, F.lit("."), "name").alias("qualified_name"), F.size("parameters").alias("parameter_count"), "ord")
     found = left.filter("label in ('Class', 'Interface', 'Enum', 'Annotation') and file_path <> ''").select("repo", "id", "name", F.struct(F.col("ord.file_path").alias("file_path"), F.col("ord.seq").alias("seq")).alias("ord"))
     own = types.select("repo", "id", "name", F.struct(F.col("ord.file_path").alias("file_path"), ((F.col("ord.type_pos") + 1) * B._TYPE).cast("long").alias("seq")).alias("ord"))
-    return old.unionByName(methods.select(*old.columns)), found.unionByName(own)
+    return old.unionByName(methods.select(*old.columns)), stage(found.unionByName(own), "types")
 
 
 def index_patch(nodes: DataFrame, sources: DataFrame, changes: DataFrame, mode: str = "fallback", *, resolve_against: str = "patch") -> tuple[DataFrame, DataFrame, DataFrame]:

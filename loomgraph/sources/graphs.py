@@ -65,10 +65,11 @@ def read_graph_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 
 def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """One JSON object a line: {id, label, properties} under nodes, edges under relationships."""
+    """One JSON object a line: {id, label, properties} under nodes, edges under relationships; gzip, for the names of members
+    are most of their bytes."""
     properties = F.struct(*[F.col(f.name) for f in PROPERTIES.fields if f.name in nodes.columns])
-    nodes.select("repo", "id", "label", properties.alias("properties")).write.mode("overwrite").json(f"{path}/nodes")
-    edges.write.mode("overwrite").json(f"{path}/relationships")
+    nodes.select("repo", "id", "label", properties.alias("properties")).write.mode("overwrite").json(f"{path}/nodes", compression="gzip")
+    edges.write.mode("overwrite").json(f"{path}/relationships", compression="gzip")
 
 
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

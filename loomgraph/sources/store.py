@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.merge import invalidate_files
 from ..operators.patterns import first_wins
-from ..shared import stage, unstage
+from ..shared import no_shuffles_left, stage, unstage
 from .graphs import complete_edges
 
 BUCKETS = 64
@@ -161,7 +161,8 @@ def _clean(spark: SparkSession, root: str) -> None:
 def _write(rows: DataFrame, root: str, kind: str, version: int, buckets: int) -> dict[str, str]:
     """Writes rows (with `bucket`) to a folder of their own: bucket -> folder, for those that have any."""
     name = f"v-{version}-{uuid.uuid4().hex[:12]}"
-    rows.repartition(buckets, "bucket").write.option("maxRecordsPerFile", ROWS_A_FILE).partitionBy("bucket").parquet(f"{root}/{kind}/{name}")
+    with no_shuffles_left(rows.sparkSession):
+        rows.repartition(buckets, "bucket").write.option("maxRecordsPerFile", ROWS_A_FILE).partitionBy("bucket").parquet(f"{root}/{kind}/{name}")
     found = (n[7:] for n in _Folder(rows.sparkSession, root).names(f"{root}/{kind}/{name}") if n.startswith("bucket="))
     return {b: name for b in sorted(found, key=int)}
 
