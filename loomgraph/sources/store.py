@@ -209,10 +209,11 @@ def merge_graph(spark: SparkSession, root: str, patch_nodes: DataFrame, patch_ed
         raise FileNotFoundError(f"no graph in {root}")
     version, buckets = before["version"] + 1, before["buckets"]
     nodes, edges = _read(spark, root, "nodes", before), _read(spark, root, "edges", before)
-    files = paths.select("repo", "file_path").filter("file_path <> ''").distinct()
+    files = stage(paths.select("repo", "file_path").filter("file_path <> ''").distinct(), "files")
     invalid = _numbers(files.withColumn("id", F.lit("")).select(bucket_of(buckets).alias("bucket")))
     key = ["repo", "id"]
-    patch_nodes, patch_edges = first_wins(patch_nodes.select(*nodes.columns), key), first_wins(patch_edges.select(*edges.columns), key)
+    # Written once: the plans below name the patch many times, and each would hold all that the patch is worked out by.
+    patch_nodes, patch_edges = stage(first_wins(patch_nodes.select(*nodes.columns), key), "patch-nodes"), stage(first_wins(patch_edges.select(*edges.columns), key), "patch-edges")
     gone = stage(invalidate_files(_read(spark, root, "nodes", before, invalid), files), "gone")
     stays = nodes.select(*key).join(gone, key, "left_anti")
     new_nodes = stage(patch_nodes.join(stays.join(patch_nodes.select(*key), key, "left_semi"), key, "left_anti").withColumn("bucket", bucket_of(buckets)), "new-nodes")
@@ -245,7 +246,7 @@ def merge_graph(spark: SparkSession, root: str, patch_nodes: DataFrame, patch_ed
     for kind, (touched, rows) in both.items():
         found[kind] = {b: v for b, v in before[kind].items() if int(b) not in touched} | (_write(rows, root, kind, version, buckets) if touched else {})
     _publish(spark, root, found)
-    unstage(gone, new_nodes, dead, new_edges)
+    unstage(files, patch_nodes, patch_edges, gone, new_nodes, dead, new_edges)
     return {"version": version, "nodes": node_buckets, "edges": edge_buckets}
 
 
